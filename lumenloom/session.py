@@ -35,15 +35,13 @@ def shared_root(spark: SparkSession) -> str:
     On a cluster an unset folder is an error: executors could not see the driver's disk.
     """
     context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or getattr(context, "_lumenloom_root", None)
     if root:
         return root.rstrip("/")
     if not context.master.startswith("local[") and context.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    root = os.path.join(tempfile.gettempdir(), f"lumenloom-{os.getuid()}")
-    os.makedirs(root, exist_ok=True)
-    spark.conf.set("spark.checkpoint.dir", "file://" + root)
-    return "file://" + root
+    context._lumenloom_root = "file://" + tempfile.mkdtemp(prefix="lumenloom-shared-")
+    return context._lumenloom_root
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

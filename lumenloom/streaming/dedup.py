@@ -25,8 +25,10 @@ from lumenloom.session import drop_folder, new_folder
 
 #: Characters that count as surrounding white space of an identifier.
 EDGE = r"^[\s\x{0000}-\x{0020}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+|[\s\x{0000}-\x{0020}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+$"
-#: Rows without a time of receipt count as received last.
-LAST = "9999-01-01 00:00:00"
+#: Rows without a time of receipt count as received last (microseconds since 1970).
+LAST = 253_370_764_800_000_000
+#: Event times that the watermark follows; others, and rows without one, do not move it.
+_FROM, _TO = 0, 7_258_118_400_000_000
 
 _LOG = T.StructType(
     [
@@ -54,11 +56,18 @@ def deliveries(df: DataFrame, tag: str, id_col: str, row_col: str, part_col: str
         key = F.concat(key, F.lit("|"), F.coalesce(F.col(part_col).cast("string"), F.lit("")))
     return df.select(
         key.alias("key"),
-        F.coalesce(F.col("received_at").cast("timestamp"), F.lit(LAST).cast("timestamp")).alias("received_at"),
+        F.col("received_at").cast("timestamp").alias("received_at"),
         F.col(row_col).cast("long").alias("row_id"),
     ).filter("key is not null")
 
 
+def _timed(rows: DataFrame) -> DataFrame:
+    """Deliveries with ts, the time that orders them, and an event time within the range of the watermark."""
+    ts = F.coalesce(F.unix_micros("received_at"), F.lit(LAST))
+    event = F.when(ts.between(_FROM, _TO), ts).otherwise(0)
+    return rows.select("key", ts.alias("ts"), "row_id", F.timestamp_micros(event).alias("received_at"))
+
+
 class Bloom:
     """A growing Bloom filter: when its newest layer is full, a layer of twice the size is added."""
 
@@ -100,7 +109,7 @@ def combine(buckets: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            rows = rows.sort_values(["received_at", "row_id"], kind="stable")
+            rows = rows.sort_values(["ts", "row_id"], kind="stable")
             lost = rows["key"].duplicated().to_numpy()
             home = (_hash(rows["key"]) % np.uint64(buckets)).astype(np.int64)
             spread = rows["row_id"].to_numpy() % buckets
@@ -113,7 +122,6 @@ def _merge(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iter
     hot, bloom = pickle.loads(state.get[0]) if state.exists else (None, Bloom())
     lost, fresh = [], []
     for part in parts:
-        part = part.assign(ts=part["received_at"].astype("datetime64[us]").astype("int64"))
         lost.append(part.loc[part["lost"], ["key", "ts", "row_id"]])
         fresh.append(part.loc[~part["lost"], ["key", "ts", "row_id"]])
     new = pd.concat(fresh).assign(old=False, suspect=False)
@@ -132,7 +140,7 @@ def _merge(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iter
         kept.loc[opened[opened].index[hit], "suspect"] = True
     logged = kept[kept["suspect"] & ~kept["old"]]
     mark = state.getCurrentWatermarkMs() * 1000
-    past = (kept["ts"] < mark).to_numpy()
+    past = (kept["ts"].where(kept["ts"].between(_FROM, _TO), 0) < mark).to_numpy()
     gone = kept[past]
     if len(gone):
         bloom.add(_hash(gone["key"]))
@@ -143,12 +151,12 @@ def _merge(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iter
 
 
 def run_stream(source: DataFrame, out: str, checkpoint: str, horizon: str, buckets: int) -> None:
-    """Drain a stream of deliveries (key, received_at, row_id) into the log at out.
+    """Drain a stream of deliveries (see deliveries) into the log at out.
 
     Calling it again with the same folders goes on where the last call ended.
     """
-    shaped = source.mapInPandas(
-        combine(buckets), "key string, received_at timestamp, row_id long, bucket long, lost boolean"
+    shaped = _timed(source).mapInPandas(
+        combine(buckets), "key string, ts long, row_id long, received_at timestamp, bucket long, lost boolean"
     )
     query = (
         shaped.withWatermark("received_at", horizon)
@@ -215,6 +223,6 @@ def keep_first(df: DataFrame, id_col: str, row_col: str, part_col: str | None =
     shuffle; the rows themselves are joined by their number.
     """
     keyed = deliveries(df, "t", id_col, row_col, part_col)
-    best = keyed.groupBy("key").agg(F.min(F.struct("received_at", "row_id")).alias("b")).select(F.col("b.row_id").alias("_kept"))
+    best = _timed(keyed).groupBy("key").agg(F.min(F.struct("ts", "row_id")).alias("b")).select(F.col("b.row_id").alias("_kept"))
     with_id = df.filter(ident(F.col(id_col)).isNotNull()).join(best, F.col(row_col).cast("long") == F.col("_kept"), "left_semi")
     return with_id.unionByName(df.filter(ident(F.col(id_col)).isNull()))
