@@ -1,0 +1,121 @@
+"""Scalar functions as Columns: text caps, ids, labels, bands, verdicts from free text, times."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+RESULT_CAP = 50_000
+
+
+def truncate(value: Column, cap: int = RESULT_CAP) -> Column:
+    """The first cap code points and a mark, where a value is longer."""
+    return F.when(F.length(value) > cap, F.concat(F.left(value, F.lit(cap)), F.lit("[truncated]"))).otherwise(value)
+
+
+def normalise(value: Column, low: float | Column, high: float | Column) -> Column:
+    """(value - low) / (high - low) within [0, 1]; 0 for an empty range, null for null."""
+    low, high = (F.lit(x) if isinstance(x, (int, float)) else x for x in (low, high))
+    return F.when(value.isNull(), F.lit(None).cast("double")).when(high - low <= 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / (high - low))))
+
+
+def slug(text: Column) -> Column:
+    """Lower case, runs of other characters as one hyphen."""
+    return F.btrim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), F.lit("-"))
+
+
+def safe_segment(value: Column) -> Column:
+    """Letters, digits, dot, hyphen; anything else an underscore, none at the ends."""
+    return F.btrim(F.regexp_replace(value, r"[^\p{L}\p{N}._-]", "_"), F.lit("_"))
+
+
+def canonical_json(levels: dict[str, Column]) -> Column:
+    """Sorted JSON text of string levels with a blank after each separator, non-ASCII escaped by the caller."""
+    quote = lambda c: F.to_json(F.array(c))
+    parts = [F.concat(F.lit(json.dumps(k) + ": "), F.regexp_replace(quote(levels[k]), r"^\[|\]$", "")) for k in sorted(levels)]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+
+
+def condition_id(levels: dict[str, Column]) -> Column:
+    """First twelve digits of the SHA-256 of the canonical levels."""
+    return F.left(F.sha2(canonical_json(levels), 256), F.lit(12))
+
+
+def short_model(model: Column) -> Column:
+    """A label from a model id: parts in capitals, without a date suffix."""
+    return F.initcap(F.regexp_replace(F.regexp_replace(model, r"-\d{8}$", ""), r"[-_]+", " "))
+
+
+def count_words(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+
+
+def iso_nanos(stamp: Column) -> Column:
+    """ISO 8601 to nanoseconds since 1970, exact to the microsecond; null if unreadable."""
+    return F.unix_micros(stamp.try_cast("timestamp")) * 1000
+
+
+def clamp(value: Column, low: Column, high: Column) -> Column:
+    return F.greatest(low, F.least(value, high))
+
+
+def parse_verdict(text: Column) -> Column:
+    """Boolean verdict of a free text; unreadable is false."""
+    hit = F.regexp_extract(text, r'(?i)"?(?:passed|pass|verdict|result)"?\s*[:=]\s*"?(true|false|yes|no|pass|fail)', 1)
+    return F.coalesce(F.lower(hit).isin("true", "yes", "pass"), F.lit(False))
+
+
+def parse_score(text: Column, low: float, high: float) -> Column:
+    """Score of a free text: a named score, else a fraction, else the last number on the scale; null if none."""
+    named = F.nullif(F.regexp_extract(text, r'(?i)"?score"?\s*[:=]\s*"?(-?\d+(?:\.\d+)?)', 1), F.lit(""))
+    of = F.nullif(F.regexp_extract(text, r"(-?\d+(?:\.\d+)?)\s*/\s*\d+", 1), F.lit(""))
+    all_of = F.transform(F.regexp_extract_all(text, F.lit(r"(-?\d+(?:\.\d+)?)"), F.lit(1)), lambda x: x.cast("double"))
+    on = F.filter(all_of, lambda x: x.between(low, high))
+    last = F.when(F.size(on) > 0, F.element_at(on, -1))
+    return F.coalesce(named.cast("double"), of.cast("double"), last)
+
+
+def effect_band(value: Column) -> Column:
+    """small below 0.06, medium below 0.14, else large."""
+    return F.when(value < 0.06, "small").when(value < 0.14, "medium").otherwise("large")
+
+
+def score_band(value: Column, low: float, high: float) -> Column:
+    """pass from three quarters of the scale, warn from three eighths, else fail; off the scale is fail."""
+    share = (value - low) / (high - low)
+    return F.when(~value.between(low, high), "fail").when(share >= 0.75, "pass").when(share >= 0.375, "warn").otherwise("fail")
+
+
+def reward_band(value: Column) -> Column:
+    return F.when(value >= 0.40, "good").when(value >= 0.30, "fair").otherwise("poor")
+
+
+def suffix_match(a: Column, b: Column) -> Column:
+    """Equal paths, or one a suffix of the other at a slash."""
+    return (a == b) | a.endswith(F.concat(F.lit("/"), b)) | b.endswith(F.concat(F.lit("/"), a))
+
+
+def billed_cost(conversation: Column, models: Column) -> Column:
+    """The sum over models where it is higher by more than a cent."""
+    return F.when(models > F.coalesce(conversation, F.lit(0.0)) + 0.01, models).otherwise(conversation)
+
+
+def is_denial(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"(?i)permission denied|not permitted|requires approval|denied by|not allowed"), F.lit(False))
+
+
+def is_real_model(name: Column) -> Column:
+    """Model names in angle brackets are stand-ins."""
+    return ~(name.startswith("<") & name.endswith(">"))
+
+
+def number_text(value: Column) -> Column:
+    """2.0 as 2, 2.5 as 2.5."""
+    return F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(value.cast("string"))
+
+
+def tool_failed(result: Column) -> Column:
+    """"error" within the first 50 characters of a result."""
+    return F.coalesce(F.instr(F.lower(F.left(result, F.lit(50))), "error") > 0, F.lit(False))
