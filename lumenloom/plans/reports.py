@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenloom.functions import scalars as S
 from lumenloom.operators import reports as R
+from lumenloom.operators import runs as U
 from lumenloom.operators import spans as P
 from lumenloom.plans.registry import Registry
 from lumenloom.sources import sinks
@@ -83,3 +84,47 @@ def reward_documents(spark: SparkSession, d: str) -> DataFrame:
     documents = sinks.reward_documents(rows.select("l_orderkey", "reward"), sinks.metric_rows(rows, "l_orderkey", ["discount", "tax"]), "l_orderkey")
     back = F.map_from_entries(F.array_sort(F.map_entries(F.from_json("document", "map<string,double>"))))
     return documents.select("l_orderkey", F.to_json(back).alias("document"))
+
+
+@query("""with p(price_model, pi, pc, po) as (values ('1', 0.001, 0.0001, 0.002), ('a/2', 0.002, 0.0002, 0.004), ('3', 0.003, 0.0003, 0.006)),
+t as (select l_suppkey, 'a/' || (l_linenumber % 5) as model, l_quantity * 10 as i, l_quantity * 4 as c, l_tax * 100 as o from lineitem),
+f as (select t.*, coalesce(w.pi, r.pi) as pi, coalesce(w.pc, r.pc) as pc, coalesce(w.po, r.po) as po from t left join p w on w.price_model = t.model left join p r on r.price_model = split_part(t.model, '/', 2))
+select l_suppkey, round(sum(greatest(i - c, 0) * pi + c * pc + o * po), 4) as cost_usd from f group by 1""")
+def estimated_cost(spark: SparkSession, d: str) -> DataFrame:
+    prices = spark.createDataFrame([("1", 0.001, 0.0001, 0.002), ("a/2", 0.002, 0.0002, 0.004), ("3", 0.003, 0.0003, 0.006)], "price_model string, per_input double, per_cached double, per_output double")
+    turns = table(spark, d, "lineitem").select("l_suppkey", F.concat(F.lit("a/"), F.col("l_linenumber") % 5).alias("model"), (F.col("l_quantity") * 10).alias("input_tokens"), (F.col("l_quantity") * 4).alias("cached_tokens"), (F.col("l_tax") * 100).alias("output_tokens"))
+    return U.estimated_cost(turns, prices, "l_suppkey", "model").select("l_suppkey", F.round("cost_usd", 4).alias("cost_usd"))
+
+
+@query("""with r as (select session_id, list(distinct coalesce(t.input_json ->> '$.file_path', '')) as paths from (select session_id, unnest(tools) as t from flat_events where session_id is not null) where json_valid(t.input_json) group by 1),
+e as (select session_id, list(json_extract_string(input_json, '$.file_path')) as want from tool_calls where json_valid(input_json) and json_extract_string(input_json, '$.file_path') is not null group by 1)
+select session_id, round(len(list_filter(want, lambda w: len(list_filter(coalesce(paths, []), lambda p: p = w or ends_with(p, '/' || w) or ends_with(w, '/' || p))) > 0)) / len(want)::double, 6) as coverage from e left join r using (session_id)""")
+def coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Share of the files that a session's calls name which its events have read."""
+    path = lambda c: F.try_variant_get(F.try_parse_json(c), "$.file_path", "string")
+    tools = table(spark, d, "flat_events").filter("session_id is not null").select("session_id", F.explode("tools").alias("t")).filter(F.try_parse_json("t.input_json").isNotNull())
+    read = tools.groupBy("session_id").agg(F.collect_set(F.coalesce(path("t.input_json"), F.lit(""))).alias("paths"))
+    calls = table(spark, d, "tool_calls").select("session_id", path("input_json").alias("p")).filter("p is not null")
+    cases = calls.groupBy("session_id").agg(F.collect_list("p").alias("want")).join(read, "session_id", "left").withColumn("paths", F.coalesce("paths", F.array().cast("array<string>")))
+    return U.coverage(cases, "want", "paths").select("session_id", F.round("coverage", 6).alias("coverage"))
+
+
+@query("""with r(rule_no, pattern, f) as (values (1, 'Read', null), (2, 'Web*', null), (3, 'Bash', 'make [a-m]'), (4, '*', 'zz'), (5, 'Bash', null))
+select row_id, (select min(rule_no) from r where (name = pattern or (ends_with(pattern, '*') and starts_with(name, left(pattern, len(pattern) - 1)))) and (f is null or regexp_matches(coalesce(input_json, ''), f))) as rule_no from tool_calls""")
+def tool_handlers(spark: SparkSession, d: str) -> DataFrame:
+    rules = spark.createDataFrame([(1, "Read", None), (2, "Web*", None), (3, "Bash", "make [a-m]"), (4, "*", "zz"), (5, "Bash", None)], "rule_no int, pattern string, input_filter string")
+    return U.handlers(table(spark, d, "tool_calls").select("row_id", "name", F.col("input_json").alias("input")), rules, "row_id").select("row_id", "rule_no")
+
+
+@query("""with t as (select distinct trace_id, name as run_tag, start_time_unix_nano as begun from spans where name is not null), l as (select trace_id from spans where span_type = 'LLM')
+select run_tag, arg_min(trace_id, (begun, trace_id)) as trace_id from t where trace_id not in (select trace_id from l) group by 1""")
+def unlinked_traces(spark: SparkSession, d: str) -> DataFrame:
+    spans = table(spark, d, "spans")
+    return U.unlinked_traces(spans.select("trace_id", F.col("name").alias("run_tag"), F.col("start_time_unix_nano").alias("at")), spans.filter("span_type = 'LLM'"))
+
+
+@query("""select l_suppkey, l_returnflag, coalesce(sum(l_linenumber), 0)::bigint as input_tokens, coalesce(sum(case when l_linenumber > 3 then l_linenumber end), 0)::bigint as output_tokens, round(sum(case when l_linenumber > 6 then l_tax end), 6) as cost_usd from lineitem group by 1, 2""")
+def usage_merged(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("l_linenumber")
+    rows = table(spark, d, "lineitem").select("l_suppkey", "l_returnflag", n.alias("input_tokens"), F.when(n > 3, n).alias("output_tokens"), F.when(n > 6, F.col("l_tax")).alias("cost_usd"))
+    return U.merged_usage(rows, "l_suppkey", "l_returnflag").withColumn("cost_usd", F.round("cost_usd", 6))

@@ -72,23 +72,28 @@ def by_precedence(case: Column, run: Column, key: str) -> Column:
     return F.when(F.map_contains_key(case, key), F.try_element_at(case, F.lit(key))).otherwise(F.try_element_at(run, F.lit(key)))
 
 
-def trials(rewards: DataFrame, results: DataFrame, failures: DataFrame) -> DataFrame:
-    """Trials by folder: a reward document, or an error record where only a failure is there; others are dropped."""
-    key = lambda df: df.withColumn("trial", F.regexp_extract("path", r"(.*)/(?:verifier/)?[^/]+$", 1))
+def trials(rewards: DataFrame, results: DataFrame, failures: DataFrame, unjudged_member: str = "unjudged") -> DataFrame:
+    """Trials by folder: a reward document, or an error record where only a failure is there; others are dropped.
+
+    unjudged_member: the flag of a reward document that was never judged; its reward is null.
+    """
+    key = lambda df: df.withColumn("trial", F.regexp_replace("path", r"/(verifier/)?[^/]+$", ""))
     r = key(rewards).select("trial", F.col("doc").alias("reward_doc"))
     x = key(results).select("trial", F.col("doc").alias("result_doc"))
     f = key(failures).select("trial", F.lit(True).alias("failed")).distinct()
     both = r.join(f, "trial", "full").join(x, "trial", "left").filter("reward_doc is not null or failed")
-    unjudged = F.coalesce(F.try_variant_get("reward_doc", "$.agent_eval_unjudged", "boolean"), F.lit(False))
+    unjudged = F.coalesce(F.try_variant_get("reward_doc", f"$.{unjudged_member}", "boolean"), F.lit(False))
     task = F.try_variant_get("result_doc", "$.task_name", "string")
     name = F.regexp_extract("trial", r"([^/]+)$", 1)
+    tokens = F.try_variant_get("result_doc", "$.agent_result.n_input_tokens", "bigint")
+    cached = F.coalesce(F.try_variant_get("result_doc", "$.agent_result.n_cache_tokens", "bigint"), F.lit(0))
     return both.select(
         "trial",
         F.coalesce(F.element_at(F.split(task, "/"), -1), F.regexp_replace(name, "__[^_]*$", "")).alias("case_id"),
         F.when(~unjudged, F.try_variant_get("reward_doc", "$.reward", "double")).alias("reward"),
         F.col("reward_doc").isNull().alias("errored"),
         F.try_variant_get("result_doc", "$.agent_result.cost_usd", "double").alias("cost_usd"),
-        F.greatest(F.lit(0), F.try_variant_get("result_doc", "$.agent_result.n_input_tokens", "bigint") - F.coalesce(F.try_variant_get("result_doc", "$.agent_result.n_cache_tokens", "bigint"), F.lit(0))).alias("fresh_tokens"),
+        F.when(tokens.isNotNull(), F.greatest(F.lit(0), tokens - cached)).alias("fresh_tokens"),
     )
 
 

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from lumenloom.operators import reports as R
+from lumenloom.operators import runs as U
 from lumenloom.operators import spans as P
 from lumenloom.operators import transcripts as E
 from lumenloom.sources import files, sinks
@@ -96,3 +97,32 @@ def test_merge_subagents(spark):
     extra = spark.createDataFrame([("s", 9, "a", "deep", "1"), ("s", 10, "b", None, "1"), ("s", 11, "b", None, "0"), ("s", 12, None, None, "5")], schema)
     got = [(r["k"], r["thinking"]) for r in E.merge_subagents(main, extra, ["s"], ["k"]).orderBy("position").collect()]
     assert got == [(10, None), (1, "deep"), (3, "deep"), (12, None), (2, None)]
+
+
+def test_trials_and_job(spark, tmp_path):
+    for trial, parts in {"t1__x": {"verifier/reward.json": {"reward": 0.5}, "result.json": {"task_name": "org/c1", "agent_result": {"cost_usd": 0.2, "n_input_tokens": 10, "n_cache_tokens": 4}}},
+                         "t2__y": {"verifier/reward.json": {"reward": 1.0, "unjudged": True}}, "t3__z": {"exception.txt": "boom"}, "t4__q": {"result.json": {}}}.items():
+        for name, body in parts.items():
+            target = tmp_path / trial / name
+            target.parent.mkdir(parents=True, exist_ok=True)
+            target.write_text(json.dumps(body) if name.endswith(".json") else body)
+    doc = lambda name: files.documents(spark, str(tmp_path), name)
+    rows = files.trials(doc("reward.json"), doc("result.json"), doc("exception.txt"))
+    got = {r["case_id"]: (r["reward"], r["errored"], r["cost_usd"], r["fresh_tokens"]) for r in rows.collect()}
+    assert got == {"c1": (0.5, False, 0.2, 6), "t2": (None, False, None, None), "t3": (None, True, None, None)}
+    whole = files.job(rows).first()
+    assert (whole["trials"], whole["mean_reward"], whole["errors"]) == (3, 0.5, 1)
+
+
+def test_runs(spark):
+    calls = spark.createDataFrame([("s", 1, "a"), ("s", 2, "a"), ("s", 3, None), ("s", 4, None)], "s string, k long, tool_use_id string")
+    assert sorted(r["k"] for r in U.denials(calls, ["s"], "k").collect()) == [1, 3, 4]
+    folders = spark.createDataFrame([("case-1",), ("case-10-x",), ("b-1",), ("b-2",)], "folder string")
+    cases = spark.createDataFrame([("case-1",), ("case-10",), ("b",), ("z",)], "case_id string")
+    assert {r["case_id"]: r["folder"] for r in U.case_folders(cases, folders).collect()} == {"case-1": "case-1", "case-10": "case-10-x", "b": None, "z": None}
+    named = spark.createDataFrame([("RFE-1-a.md",), ("RFE-1-b.md",), ("x.md",)], "name string")
+    assert sorted(r["group"] for r in U.file_groups(named, 2).collect()) == ["RFE-1", "RFE-1", "x.md"]
+    tags = spark.createDataFrame([({"a": "1", "id": "x"}, {"a": "2", "id": "y", "b": "3"})], "x map<string,string>, y map<string,string>")
+    assert tags.select(U.overlay(F.col("x"), F.col("y"), "id").alias("m")).first()["m"] == {"a": "2", "id": "x", "b": "3"}
+    keys = spark.createDataFrame([("p/c1/a.txt",), ("p/c1/b.txt",), ("p/top.txt",), ("p/c2/",)], "key string")
+    assert {r["case_id"]: r["keys"] for r in files.object_cases(keys, "p/").collect()} == {"c1": ["p/c1/a.txt", "p/c1/b.txt"]}
