@@ -168,16 +168,17 @@ def aligned(item: list[str], masked: list[bool], own: list[bool], text: list[str
     width = 2 * reach + 1
     # score, item words, wrong words, own pairs, own pairs kept, whether the last word matched
     none = (0, 0, 0, 0, 0, False)
-    above = [none] * (width + 2)
+    above, end = [none] * (width + 2), len(text)
     for i, word in enumerate(item):
         row = [none] * (width + 2)
         counts, pair = 0 if masked[i] else 1, 1 if own[i] else 0
-        for b in range(1, width + 1):
-            j = i + shift + b - 1 - reach
-            if j < 0 or j >= len(text):
-                continue
+        begin = i + shift - 1 - reach
+        for b in range(max(1, -begin), min(width + 1, end - begin)):
+            found = word == text[begin + b]
+            if not found and above[b] is none and above[b + 1] is none and row[b - 1] is none:
+                continue  # nothing to carry on
             score, span, wrong, pairs, kept, last = above[b]
-            if word == text[j]:
+            if found:
                 best = (score + counts, span + counts, wrong, pairs + pair, kept + (pair if last else 0), True)
                 if best[1] >= budget.words and best[2] <= budget.share * best[1] and best[4] >= budget.pairs * best[3]:
                     return True
