@@ -265,23 +265,40 @@ def _canonical(value: object) -> tuple:
     return None, None, None, text, text
 
 
+def members(body: object) -> Iterator[tuple[str, str, object]]:
+    """(path, place, value) of every non-null member at any depth: paths as in alternatives, the place has the
+    position in an array and the name of a model instead. Without recursion, as deep as the JSON reader goes."""
+    todo: list[tuple[object, str, str]] = [(body, "", "")]
+    while todo:
+        value, path, place = todo.pop()
+        if isinstance(value, dict):
+            for name, below in value.items():
+                if below is not None:
+                    at, here = (f"{path}.{_member(name)}", f"{place}.{name}") if path else (_member(name), name)
+                    yield at, here, below
+                    todo.append((below, at, here))
+        elif isinstance(value, list):
+            todo += [(below, path + "[]", f"{place}[{k}]") for k, below in enumerate(value)]
+
+
 def _typed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["record_id", "field", "tag", "as_string", "as_number", "as_boolean", "as_json", "canonical"]
+    names = ["record_id", "field", "place", "tag", "as_string", "as_number", "as_boolean", "as_json", "canonical"]
     for batch in batches:
         out = []
         for record_id, body in batch.itertuples(index=False):
-            for field, value in parse(body).items():
-                if value is not None:
-                    out.append((record_id, field, tag(value), *_canonical(value)))
+            for field, place, value in members(parse(body)):
+                out.append((record_id, field, place, tag(value), *_canonical(value)))
         yield pd.DataFrame(out, columns=names).astype({"as_number": "float64"})
 
 
 def unified(records: DataFrame) -> DataFrame:
-    """One row for each non-null top-level field of a record: its tag, a branch for each type, and one text form.
+    """One row for each non-null field of a record at any depth: its tag, a branch for each type, and one text form.
 
-    A field of conflicting types keeps every value: the branch of its own type is set, the others are null.
+    A field is a path as in changes; place tells its occurrences in a record apart by array position and model
+    name. A field of conflicting types keeps every value: the branch of its own type is set, the others are null.
+    Objects and arrays have their own row beside those of their members; array elements that are neither have none.
     """
     return records.select(F.col("record_id").cast("long"), "body").mapInPandas(
         _typed,
-        "record_id long, field string, tag string, as_string string, as_number double, as_boolean boolean, as_json string, canonical string",
+        "record_id long, field string, place string, tag string, as_string string, as_number double, as_boolean boolean, as_json string, canonical string",
     )

@@ -53,3 +53,14 @@ def test_unified(spark):
     got = {(r["record_id"], r["field"]): (r["tag"], r["as_string"], r["as_number"], r["as_boolean"], r["canonical"]) for r in rows}
     assert got[(1, "v")] == ("number", None, 1.5, None, "1.5") and got[(2, "v")] == ("string", "1.5", None, None, "1.5")
     assert got[(1, "w")][3] is True and (1, "z") not in got
+
+
+def test_unified_splits_nested_conflicts(spark):
+    one = {"m": {"big-one": {"cost": 1}, "tiny-2": {"cost": {"id": "a", "rev": 2}}}, "list": [{"q": 1}, None, {"q": "x"}]}
+    rows = drift.unified(records(spark, {1: (0, [("a", one)])})).collect()
+    got = {(r["field"], r["place"]): (r["tag"], r["as_string"], r["as_number"], r["canonical"]) for r in rows}
+    assert got[("m.*.cost", "m.big-one.cost")] == ("number", None, 1.0, "1")
+    assert got[("m.*.cost", "m.tiny-2.cost")] == ("object", None, None, '{"id": "a", "rev": 2}')
+    assert got[("m.*.cost.rev", "m.tiny-2.cost.rev")][2] == 2.0
+    assert got[("list[].q", "list[0].q")][2] == 1.0 and got[("list[].q", "list[2].q")][1] == "x"
+    assert {f for f, _ in got} == {p for p, _ in drift.alternatives(one)} and len(rows) == len(got)
