@@ -122,12 +122,15 @@ def shred(records: list[object], keep: Callable[[Path], bool] = lambda path: Tru
     return root
 
 
-def _blocks(content: object) -> object:
-    """Content as a list of objects: a string or a single object stands for an element 0."""
+def _blocks(content: object, whole: bool = False) -> object:
+    """Content as a list of objects: a string or a single object stands for an element 0.
+
+    whole: numbers and booleans in place of content, and arrays in place of a block, stay as they are.
+    """
     if isinstance(content, (str, dict)):
         content = [content]
     if not isinstance(content, list):
-        return None
+        return content if whole else None
     out: list[object] = []
     for block in content:
         if block is None:
@@ -135,20 +138,45 @@ def _blocks(content: object) -> object:
         elif isinstance(block, str):
             out.append({"type": "text", "text": block, "_bare": True})
         elif isinstance(block, dict):
-            out.append(block | {"content": _blocks(block["content"])} if "content" in block else block)
+            out.append(block | {"content": _blocks(block["content"], whole)} if "content" in block else block)
         else:
-            out.append({"_value": json.dumps(block)})
+            out.append(block if whole and isinstance(block, list) else {"_value": json.dumps(block)})
     return out
 
 
-def transcript_record(line: object) -> dict | None:
-    """The parts of a transcript line that the child tables need; None if it is not a JSON object."""
+def _parsed(line: object) -> dict | None:
+    """A transcript line; None if it is not a JSON object."""
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 100_000))
     try:
         record = json.loads(line) if isinstance(line, str) else None
     except (ValueError, RecursionError):
         return None
-    if not isinstance(record, dict):
+    return record if isinstance(record, dict) else None
+
+
+def whole_record(line: object) -> dict | None:
+    """A transcript line with all its members, its message decoded and the content as blocks; None as in _parsed.
+
+    A message text that is no JSON object stays a text.
+    """
+    record = _parsed(line)
+    message = record.get("message") if record is not None else None
+    if isinstance(message, str):
+        try:
+            message = json.loads(message)
+        except (ValueError, RecursionError):
+            return record
+    if not isinstance(message, dict):
+        return record
+    if "content" in message:
+        message = message | {"content": _blocks(message["content"], True)}
+    return record | {"message": message}
+
+
+def transcript_record(line: object) -> dict | None:
+    """The parts of a transcript line that the child tables need; None if it is not a JSON object."""
+    record = _parsed(line)
+    if record is None:
         return None
     message = record.get("message")
     if isinstance(message, str):
@@ -219,7 +247,7 @@ LEAF_SCHEMA = "line_id long, ancestor string, node_path string, leaf string, def
 def _leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         ids = batch["line_id"].to_numpy()
-        root = shred([transcript_record(line) for line in batch["line"]])
+        root = shred([whole_record(line) for line in batch["line"]])
         out: list[tuple] = []
         for level in root.walk():
             name = ".".join(level.path)
@@ -233,5 +261,5 @@ def _leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def transcript_leaves(lines: DataFrame) -> DataFrame:
-    """Every leaf value of the message and usage members (LEAF_SCHEMA), linked to its repeated ancestor."""
+    """Every leaf value of the lines that are JSON objects (LEAF_SCHEMA), linked to its repeated ancestor."""
     return lines.select("line_id", "line").mapInPandas(_leaves, LEAF_SCHEMA)

@@ -71,3 +71,18 @@ def test_leaves_keep_values(spark):
     df = spark.createDataFrame([(1, json.dumps({"message": {"content": [{"type": "text", "text": "hi"}, {"type": "n", "n": 2}]}}))], "line_id long, line string")
     got = {(r["node_path"], r["leaf"]): r["value"] for r in shred.transcript_leaves(df).collect()}
     assert got[("0", "text")] == "hi" and got[("1", "n")] == "2"
+
+
+def test_leaves_are_those_of_the_whole_line(spark):
+    lines = [
+        json.dumps({"type": "a", "cost": 0.5, "modelUsage": {"m-1": {"n": 3}}, "item": {"parts": [{"k": True}, [7]]}, "message": json.dumps({"role": "user", "id": "i", "content": 5})}),
+        json.dumps({"message": {"content": [{"type": "x", "content": False}, [[1], {"y": 2}], 4]}, "usage": [8]}), json.dumps({"message": "no json"}), "{broken", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_id long, line string")
+    got = {(r["line_id"], r["ancestor"], r["node_path"], r["leaf"], r["value"]) for r in shred.transcript_leaves(df).collect()}
+    assert got == {
+        (0, "", "", "type", "a"), (0, "", "", "cost", "0.5"), (0, "", "", "modelUsage.m-1.n", "3"), (0, "item.parts.[]", "0", "k", "true"), (0, "item.parts.[].[]", "1.0", "", "7"),
+        (0, "", "", "message.role", "user"), (0, "", "", "message.id", "i"), (0, "", "", "message.content", "5"),
+        (1, "message.content.[]", "0", "type", "x"), (1, "message.content.[]", "0", "content", "false"), (1, "message.content.[].[].[]", "1.0.0", "", "1"),
+        (1, "message.content.[].[]", "1.1", "y", "2"), (1, "message.content.[]", "2", "_value", "4"), (1, "usage.[]", "0", "", "8"), (2, "", "", "message", "no json"),
+    }
