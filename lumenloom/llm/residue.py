@@ -80,15 +80,6 @@ _FUNCTION = frozenset(
     "el los las una y es en con no se que por del al".split()
 )
 _PLAIN = re.compile(r"[^\W\d_]+(?:[ ,]+[^\W\d_]+)*[.!?,]*")
-#: One of these stands in every text with evidence or with a placeholder; most texts have none.
-_HINTS = (
-    "script", "js ", " js", "error", "fehler", "erreur", "not found", "no such page", "gateway", "forbidden", "denied", "unavailable", "maintenance",
-    "be reached", "too many requests", "went wrong", "oops", "permission to", "you are human", "testing your browser", "by the site", "your session has",
-    "no longer", "be resolved", "no reply from", "gave code", "traceback", "answer in time", "on this server", "could not", "cannot", "can't", "can’t", "unable to",
-    "failed to", "not possible to", "introuvable", "nicht gefunden", "no encontrada", "existe plus", "lorem ipsum", "goes here", "for layout", "something about",
-    "add a", "replace this", "todo", "coming soon", "to follow", "on purpose", "intentionally", "text pending", "relleno", "à venir", "hier steht", "item ", "title ",
-    "section ", "heading ", "bullet ", "chapter ", "paragraph ", "body text", "short text", "description", "placeholder", "n/a", "human", "layout",
-)
 _SIGNS = re.compile(r"\{\{|\{%|<%|\$\{|#\{|@@|\[\[|<<|%[sdf(%]|\{\w|\$[A-Z]|__[A-Z]|<[A-Z]|<(?:your|insert|enter|the) |\[[A-Za-z]|XXXX|[Tt][Bb][Dd]|undefined|NaN")
 _HEX = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b")
 
@@ -109,14 +100,15 @@ def pseudo(words: list[str]) -> bool:
 
 def kind_of(segment: str) -> str:
     """error, script, filler, beside, furniture or content."""
+    segment = " ".join(segment.split())
     low = segment.lower()
-    if any(hint in low for hint in _HINTS):
-        if SCRIPT.search(segment):
-            return "script"
-        if ERROR.search(segment):
-            return "error"
-        if FILLER.search(segment):
-            return "filler"
+    # no alternative of the pattern does without one of the two; other scripts may fold to their letters
+    if ("script" in low or "js" in low or not segment.isascii()) and SCRIPT.search(segment):
+        return "script"
+    if ERROR.search(segment):
+        return "error"
+    if FILLER.search(segment):
+        return "filler"
     words = [w.lower() for w in _WORD.findall(segment)]
     if len(words) >= 3 and _PLAIN.fullmatch(segment) and pseudo(words) and not segment.istitle():
         return "filler"
@@ -131,15 +123,6 @@ def kind_of(segment: str) -> str:
     return "content"
 
 
-def suspicious(text: str) -> bool:
-    """Whether the sentences of a text are worth a look: it has a hint, or words that form no language."""
-    low = text.lower()
-    if any(hint in low for hint in _HINTS):
-        return True
-    words = _WORD.findall(low)
-    return pseudo(words)
-
-
 def placeholder(text: str) -> bool:
     """An unfilled placeholder or a failed value outside quotes and code."""
     if not _SIGNS.search(text):
@@ -172,8 +155,6 @@ def _inspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if placeholder(text):
                 out.append(("case", doc_id, source, "", "placeholder", 1))
                 continue
-            if not suspicious(text):
-                continue
             bare = [kind_of(_QUOTED.sub(" q ", p)) for p in parts]
             evidence = sum(k in ("error", "script", "filler") for k in bare)
             rest = sum(k == "content" for k in bare)
