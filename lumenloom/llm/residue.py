@@ -156,11 +156,8 @@ def _inspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 out.append(("case", doc_id, source, "", "placeholder", 1))
                 continue
             bare = [kind_of(_QUOTED.sub(" q ", p)) for p in parts]
-            evidence = sum(k in ("error", "script", "filler") for k in bare)
-            rest = sum(k == "content" for k in bare)
-            # furniture can at most outweigh the evidence as far as a page has any
-            if evidence and rest <= max(12, 3 * evidence):
-                if not rest:
+            if any(k in ("error", "script", "filler") for k in bare):
+                if "content" not in bare:
                     out.append(("case", doc_id, source, "", next(k for k in bare if k in ("error", "script", "filler")), 1))
                 else:
                     out += [("open", doc_id, source, normal(p), k, 1) for p, k in zip(parts, bare) if k == "content"]

@@ -210,3 +210,9 @@ def test_notices_without_common_words(spark):
     assert [residue.kind_of(x) for x in lines] == ["error"] * 7 + ["script"] and residue.kind_of("NA") == "filler"
     texts = ["400 Bad Request", "NA", "Home | Sign in\n\nVelna morit dasu kelor pinta suvo.", "The reviewer compared 89 retries and left the token count unchanged."]
     assert {r["doc_id"] for r in residue.residue(documents(spark, texts)).collect()} == {0, 1, 2}
+
+
+def test_long_furniture_is_subtracted_too(spark):
+    menu = "\n".join(f"Read what the desk number {word} of the archive wrote about the harness." for word in "one two three four five six seven eight nine ten red blue green grey".split())
+    texts = [f"Report {k} of the night was archived in time.\n{menu}" for k in range(8)] + ["404 Not Found\n" + menu]
+    assert [r["doc_id"] for r in residue.residue(documents(spark, texts)).collect()] == [8]
