@@ -8,6 +8,7 @@ things, or holds other sentences beside them, is content.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
@@ -92,6 +93,12 @@ def normal(segment: str) -> str:
     return " ".join(sorted(words) if len(words) <= 12 and segment.istitle() else words)
 
 
+def counted(segment: str) -> str:
+    """A normalised line as it is counted and joined: a long one by a hash of 128 bits."""
+    line = normal(segment)
+    return line if len(line) <= 200 else hashlib.blake2b(line.encode("utf-8", "replace"), digest_size=16).hexdigest()
+
+
 def pseudo(words: list[str]) -> bool:
     """Words that form no language: the same few again and again, or many without one function word."""
     few = set(words)
@@ -149,7 +156,7 @@ def _inspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, counts = [], Counter()
         for doc_id, source, text in batch.itertuples(index=False):
             parts = segments(text)
-            lines = {normal(p) for p in parts if len(p) <= 200}
+            lines = {counted(p) for p in parts}
             counts.update((source, line) for line in lines)
             counts[(source, "")] += 1
             if placeholder(text):
@@ -160,7 +167,7 @@ def _inspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if "content" not in bare:
                     out.append(("case", doc_id, source, "", next(k for k in bare if k in ("error", "script", "filler")), 1))
                 else:
-                    out += [("open", doc_id, source, normal(p), k, 1) for p, k in zip(parts, bare) if k == "content"]
+                    out += [("open", doc_id, source, counted(p), k, 1) for p, k in zip(parts, bare) if k == "content"]
         out += [("count", None, source, line, None, n) for (source, line), n in counts.items()]
         yield pd.DataFrame(out, columns=["what", "doc_id", "source", "line", "kind", "n"]).astype({"doc_id": "Int64"})
 

@@ -216,3 +216,9 @@ def test_long_furniture_is_subtracted_too(spark):
     menu = "\n".join(f"Read what the desk number {word} of the archive wrote about the harness." for word in "one two three four five six seven eight nine ten red blue green grey".split())
     texts = [f"Report {k} of the night was archived in time.\n{menu}" for k in range(8)] + ["404 Not Found\n" + menu]
     assert [r["doc_id"] for r in residue.residue(documents(spark, texts)).collect()] == [8]
+
+
+def test_one_very_long_line_recurs(spark):
+    notice = "We and our partners keep what you read here for the reports of the archive, count the pages that are opened by each guest, compare them with those of the week before, and send a summary of all this to the owner of the harness, unless you refuse that at the desk."
+    texts = [f"Report {k} of the night was archived in time.\n{notice}" for k in range(8)] + ["404 Not Found\n" + notice, "404 Not Found\n" + notice.replace("desk", "door")]
+    assert [r["doc_id"] for r in residue.residue(documents(spark, texts)).collect()] == [8]
