@@ -58,8 +58,14 @@ def reference_counts(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def diff_lines(spark: SparkSession, d: str) -> DataFrame:
     """Added and deleted lines between each document and the one before of its source: sequence matching has no SQL."""
-    before = F.lag("text").over(Window.partitionBy("source", F.floor(F.col("doc_id") / 1000)).orderBy("doc_id"))
-    rows = table(spark, d, "documents").select("doc_id", "source", "text").withColumn("old", before)
+    rows = table(spark, d, "documents").select("doc_id", "source", "text", F.floor(F.col("doc_id") / 1000).alias("block"))
+    # blocks keep a large source out of one task; the first document of a block meets the last of the block before
+    last = rows.groupBy("source", "block").agg(F.max_by("text", "doc_id").alias("last"))
+    carried = last.select("source", "block", F.lag("last").over(Window.partitionBy("source").orderBy("block")).alias("carried"))
+    inside = Window.partitionBy("source", "block").orderBy("doc_id")
+    rows = rows.withColumn("place", F.row_number().over(inside)).withColumn("inside", F.lag("text").over(inside))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("source", "block")]
+    rows = rows.alias("a").join(carried.alias("b"), same, "left").withColumn("old", F.when(F.col("place") == 1, F.col("carried")).otherwise(F.col("inside")))
     return rows.select("doc_id", R.diff_stats("old", "text").alias("s")).select("doc_id", "s.added", "s.deleted")
 
 

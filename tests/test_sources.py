@@ -126,3 +126,12 @@ def test_runs(spark):
     assert tags.select(U.overlay(F.col("x"), F.col("y"), "id").alias("m")).first()["m"] == {"a": "2", "id": "x", "b": "3"}
     keys = spark.createDataFrame([("p/c1/a.txt",), ("p/c1/b.txt",), ("p/top.txt",), ("p/c2/",)], "key string")
     assert {r["case_id"]: r["keys"] for r in files.object_cases(keys, "p/").collect()} == {"c1": ["p/c1/a.txt", "p/c1/b.txt"]}
+
+
+def test_diff_lines_go_on_over_blocks_of_ids(spark, tmp_path):
+    from lumenloom.plans import reports
+
+    rows = [(998, "s", "a\nb"), (999, "t", "x"), (1001, "s", "a\nc"), (1002, "s", None), (5000, "s", "a"), (5001, "t", "x"), (7000, None, "n"), (9000, None, "n\nm")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["added"], r["deleted"]) for r in reports.diff_lines(spark, str(tmp_path)).collect()}
+    assert got == {998: (2, 0), 999: (1, 0), 1001: (1, 1), 1002: (0, 2), 5000: (1, 0), 5001: (0, 0), 7000: (1, 0), 9000: (1, 0)}
