@@ -223,16 +223,17 @@ _SCHEMA = "what string, src_table string, source string, row_id long, field_name
 def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = ["what", "src_table", "source", "row_id", "field_name", "key", "n"]
     for batch in batches:
-        out, counts, totals = [], Counter(), Counter()
+        out, counts, totals = [], {}, Counter()
         for src, source, row_id, field, value in batch.itertuples(index=False):
             verdict, key = judge(value)
             totals[(src, source)] += 1
-            _baseline(value, counts)
+            own = counts.setdefault((src, source), Counter())
+            _baseline(value, own)
             if key[:2] == "f ":
-                counts[key] += 1
+                own[key] += 1
             if verdict != WHOLE:
                 out.append((verdict, src, source, row_id, field, key, 1))
-        out += [("count", None, None, None, None, k, n) for k, n in counts.items()]
+        out += [("count", src, source, None, None, k, n) for (src, source), own in counts.items() for k, n in own.items()]
         out += [("total", src, source, None, None, None, n) for (src, source), n in totals.items()]
         yield pd.DataFrame(out, columns=names).astype({"row_id": "Int64"})
 
@@ -258,18 +259,25 @@ def cut_values(probed: DataFrame, end_share: float = 0.01, value_share: float =
     An end without terminator is complete if it makes up at least `end_share` of all such ends (signatures,
     lead-ins) or, where it is the whole line, `value_share` (fixed answers). The last words of a list item,
     the word before a number with a final point, and the extension of a path are complete if they are seen
-    `least` times, and in `inner_share` of all cases of their kind, where something follows them. Null, empty
+    `least` times, and in `inner_share` of all cases of their kind, where something follows them. All shares are
+    those within the source of the value; a source with fewer than least / inner_share counts of a kind, too few
+    for its rarest complete ends to show, is measured by the whole corpus. Null, empty
     and invisible values are never cut; repeated rows count each for themselves.
     """
-    counts = probed.filter("what = 'count'").groupBy("key").agg(F.sum("n").alias("n")).withColumn("kind", F.left("key", F.lit(1)))
-    totals = {r["kind"]: r["n"] for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    place = ["src_table", "source"]
     share = F.when(F.col("key").startswith("f ^ "), value_share).when(F.col("kind") == "f", end_share).otherwise(inner_share)
-    total = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in totals.items()], F.lit(0))
-    known = counts.filter((F.col("n") >= least) & (F.col("n") >= share * total)).select("key")
-    columns = ["src_table", "source", "row_id", "field_name"]
-    return probed.filter("what = 'cut'").select(*columns).unionByName(
-        probed.filter("what = 'ask'").join(known, "key", "left_anti").select(*columns)
-    )
+    usual = (F.col("n") >= least) & (F.col("n") >= share * F.col("total"))
+    kind = F.left("key", F.lit(1))
+    own = probed.filter("what = 'count'").groupBy(*place, "key").agg(F.sum("n").alias("n")).withColumn("kind", kind)
+    sizes = own.groupBy(*place, "kind").agg(F.sum("n").alias("total")).filter(F.col("total") >= least / inner_share)
+    known = own.join(sizes, [*place, "kind"]).filter(usual).select(*place, "key")
+    corpus = own.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    known_all = corpus.join(corpus.groupBy("kind").agg(F.sum("n").alias("total")), "kind").filter(usual).select("key")
+    columns = [*place, "row_id", "field_name"]
+    asked = probed.filter("what = 'ask'").withColumn("kind", kind)
+    by_source = asked.join(sizes, [*place, "kind"], "left_semi").join(known, [*place, "key"], "left_anti")
+    by_corpus = asked.join(sizes, [*place, "kind"], "left_anti").join(known_all, "key", "left_anti")
+    return probed.filter("what = 'cut'").select(*columns).unionByName(by_source.select(*columns)).unionByName(by_corpus.select(*columns))
 
 
 def rates(probed: DataFrame, cut: DataFrame) -> DataFrame:

@@ -222,3 +222,12 @@ def test_one_very_long_line_recurs(spark):
     notice = "We and our partners keep what you read here for the reports of the archive, count the pages that are opened by each guest, compare them with those of the week before, and send a summary of all this to the owner of the harness, unless you refuse that at the desk."
     texts = [f"Report {k} of the night was archived in time.\n{notice}" for k in range(8)] + ["404 Not Found\n" + notice, "404 Not Found\n" + notice.replace("desk", "door")]
     assert [r["doc_id"] for r in residue.residue(documents(spark, texts)).collect()] == [8]
+
+
+def test_baseline_is_the_source_s_own(spark):
+    count = [("d", "small", "f nightly harness", 100), ("d", "small", "f other", 4900), ("d", "large", "f best wishes", 20_000), ("d", "large", "f other", 980_000), ("d", "tiny", "f other", 50)]
+    rows = [("count", t, s, None, None, k, n) for t, s, k, n in count]
+    asked = [("small", "f nightly harness"), ("large", "f nightly harness"), ("small", "f best wishes"), ("large", "f best wishes"), ("tiny", "f best wishes"), ("tiny", "f nightly harness")]
+    rows += [("ask", "d", s, n, "text", k, 1) for n, (s, k) in enumerate(asked)]
+    probed = spark.createDataFrame(rows, truncation._SCHEMA)
+    assert sorted(r["row_id"] for r in truncation.cut_values(probed).collect()) == [1, 2, 5]
