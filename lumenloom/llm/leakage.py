@@ -1,11 +1,15 @@
 """Evaluation passages inside training texts.
 
-Both sides are reduced to their letters and digits. Character q-grams that a text shares with an item are
-counted in overlapping bands of diagonals; by the q-gram lemma a passage of the least length within the edit
-budget keeps a number of them in one band, so bands below that number are dropped unseen. What is left is
-aligned word by word in a band around the diagonal, and counts if enough consecutive words of the item stand
-in the text. Instructions that many items share are masked, and turns of phrase that many items share are no
-evidence: only q-grams and word pairs that few items have are counted.
+Both sides are reduced to their letters and digits, as code points of any script. Character q-grams that a
+text shares with an item are counted in overlapping bands of diagonals. By the q-gram lemma a passage of the
+least length within the edit budget keeps, in one band, at least the q-grams it has less those that the
+longest words the budget may change can touch; that bound is taken from the real lengths of the words of
+every passage, and bands below it are dropped unseen. What is left is aligned word by word in a band around
+the diagonal. Only standing instructions that many items share are masked; every other q-gram counts.
+
+Sentences of one pattern with other words in it keep the turns of phrase but not the places where they meet
+the item's own words. An altered passage therefore needs evidence: pairs of neighbouring words that few items
+have and that still stand side by side. A passage that stands word for word needs none.
 """
 
 from __future__ import annotations
@@ -27,9 +31,12 @@ Q = 8
 _ESCAPES = {"n": " ", "t": " ", "r": " ", "f": " ", "b": " ", '"': '"', "/": "/", "\\": "\\", "'": "'"}
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|([ntrfb\"'/\\]))")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>")
-_HYPHEN = re.compile(r"(?<=\w)[-‐‑][ \t]*\n[\s*#>|]*(?=\w)")
-_HIDDEN = re.compile(r"[­​-‏⁠﻿]")
-_WORD = re.compile(r"[^\W_]+")
+_HYPHEN = re.compile(r"(?<=\w)[-\u2010\u2011][ \t]*\n[\s*#>|]*(?=\w)")
+_HIDDEN = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
+#: Scripts written without spaces (fixed ranges of Unicode): each of their letters is a word.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af"
+_WORD = re.compile(f"[{_UNSPACED}]|[^\\W_{_UNSPACED}]+")
+_LETTER = re.compile(f"[{_UNSPACED}]")
 
 
 def words_of(text: str) -> list[str]:
@@ -48,64 +55,85 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.casefold())
 
 
+def spelled(words: list[str]) -> list[str]:
+    """Words as they enter the q-grams: a letter that is a word is spelled with four signs, about a word's length."""
+    if not any(len(w) == 1 and w >= "\u0e00" for w in words):
+        return words
+    return [
+        w + chr(0xF0000 + (ord(w) & 0xFFF0)) + chr(0x100000 + (ord(w) & 0xFFF0)) + chr(0xF0000 + (ord(w) & 0xF)) if len(w) == 1 and _LETTER.match(w) else w for w in words
+    ]
+
+
 @dataclass(frozen=True)
 class Budget:
-    """A passage: the least number of consecutive item words, the share of them that may be changed or put in,
-    and the share of the item's own word pairs in it that must be whole. `own` is the share of the items
-    that may have a q-gram or word pair for it to be an item's own."""
+    """A passage: the least number of consecutive item words, and the share of them that may be changed or put in.
+
+    Evidence of an altered passage: `pairs` of the item's own word pairs whole and the share `kept` of those it
+    has, or `few` of them and the share `most`. A pair is the item's own if at most `own` of all items, or
+    `own_least` of them, have it.
+    """
 
     words: int = 20
     share: float = 0.2
-    pairs: float = 0.65
+    pairs: int = 5
+    few: int = 4
+    kept: float = 0.5
+    most: float = 0.65
     own: float = 0.02
-    word_chars: float = 4.4
-    band: int = 64
+    own_least: int = 8
+    #: width of a band of diagonals: room on both sides for the words put in, 12 letters each
+    band: int = 96
 
-    def kept(self) -> float:
-        """Share of the q-grams of a passage that stay: each changed word spoils those that touch it."""
-        chars = self.words * self.word_chars - Q + 1
-        return max(0.25, 1 - self.share * self.words * (self.word_chars + Q - 1) / chars)
+    def changes(self) -> int:
+        return int(self.share * self.words)
 
 
-def _squash(words: list[str]) -> bytes:
-    return "".join(words).encode("ascii", "replace")
+def _units(spelling: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(spelling).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _grams(text: np.ndarray) -> np.ndarray:
-    """All q-grams of a byte array as numbers."""
-    n = len(text) - Q + 1
+def _grams(units: np.ndarray) -> np.ndarray:
+    """All q-grams of an array of code points, as 64-bit hashes."""
+    n = len(units) - Q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for k in range(Q):
-        out |= text[k : n + k].astype(np.uint64) << np.uint64(8 * k)
-    return out
+        out *= np.uint64(0x100000001B3)
+        out += units[k : n + k]
+    out ^= out >> np.uint64(29)
+    return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
 class Index:
-    """The own q-grams of a block of items, with their places."""
+    """The q-grams outside standing instructions of a block of items, with their places, and the own word pairs."""
 
     def __init__(self, items: list[tuple[int, str]], common: Common, budget: Budget) -> None:
         self.ids = [i for i, _ in items]
         self.words = [words_of(t) for _, t in items]
         self.masked = [common.standing(w) for w in self.words]
-        self.own = [[k > 0 and (w[k - 1], w[k]) not in common.pairs for k in range(len(w))] for w in self.words]
-        self.starts = [np.cumsum([0, *map(len, w)]) for w in self.words]
-        self.need = np.zeros(len(items), np.int64)
+        self.own = [[k > 0 and not m[k] and not m[k - 1] and (w[k - 1], w[k]) not in common.pairs for k in range(len(w))] for w, m in zip(self.words, self.masked)]
+        spellings = [spelled(w) for w in self.words]
+        self.starts = [np.cumsum([0, *map(len, w)]) for w in spellings]
+        #: least q-grams that a passage keeps within the budget, and that a passage has if it stands word for word
+        self.need = np.full(len(items), 1 << 40, np.int64)
+        self.whole = np.full(len(items), 1 << 40, np.int64)
         grams, item, place = [], [], []
-        for k, (words, masked, starts) in enumerate(zip(self.words, self.masked, self.starts)):
-            found = _grams(np.frombuffer(_squash(words), np.uint8))
-            if not len(found):
-                self.need[k] = 1 << 40
+        for k, (spelling, masked, starts) in enumerate(zip(spellings, self.masked, self.starts)):
+            found = _grams(_units(spelling))
+            seen = [j for j, m in enumerate(masked) if not m]
+            if not len(found) or len(seen) < budget.words:
                 continue
-            hidden = np.convolve(np.repeat(np.array(masked, bool), np.diff(starts)), np.ones(Q, int), "valid") > 0
-            clear = ~hidden & ~np.isin(found, common.grams)
-            at = np.nonzero(clear)[0]
-            # the least number of own q-grams that any passage of the item has
+            clear = np.convolve(np.repeat(np.array(masked, bool), np.diff(starts)), np.ones(Q, int), "valid") == 0
             before = np.append(0, np.cumsum(clear))
-            seen = [k2 for k2, m in enumerate(masked) if not m]
-            passages = [before[min(starts[b + 1], len(found))] - before[min(starts[a], len(found))] for a, b in zip(seen, seen[budget.words - 1 :])]
-            self.need[k] = max(4, int(budget.kept() * min(passages))) if passages else 1 << 40
+            for a in range(len(seen) - budget.words + 1):
+                passage = seen[a : a + budget.words]
+                first, last = min(starts[passage[0]], len(found)), max(starts[passage[0]], starts[passage[-1] + 1] - Q + 1)
+                has = int(before[min(last, len(found))] - before[first])
+                spoiled = sorted((len(spelling[j]) + Q - 1 for j in passage), reverse=True)[: budget.changes()]
+                self.need[k] = min(self.need[k], max(1, has - sum(spoiled)))
+                self.whole[k] = min(self.whole[k], max(1, has))
+            at = np.nonzero(clear)[0]
             grams.append(found[at])
             item.append(np.full(len(at), k, np.int32))
             place.append(at.astype(np.int32))
@@ -116,10 +144,18 @@ class Index:
         self.count = np.diff(np.append(self.first, len(order)))
         self.sieve = np.zeros(1 << 22, bool)
         self.sieve[self._slot(self.grams)] = True
+        self.vocabulary: dict[str, int] = {}
+        number = lambda w: self.vocabulary.setdefault(w, len(self.vocabulary))
+        own = [(number(w[j - 1]) << 32 | number(w[j]), k) for k, (w, o) in enumerate(zip(self.words, self.own)) for j in range(1, len(w)) if o[j]]
+        pairs = np.array([p for p, _ in own], np.int64)
+        order = np.argsort(pairs, kind="stable")
+        self.pair_item = np.array([k for _, k in own], np.int64)[order]
+        self.pairs, self.pair_first = np.unique(pairs[order], return_index=True)
+        self.pair_count = np.diff(np.append(self.pair_first, len(order)))
 
     @staticmethod
     def _slot(grams: np.ndarray) -> np.ndarray:
-        return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
+        return (grams >> np.uint64(42)).astype(np.int64)
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position, item, place in the item) of every shared q-gram."""
@@ -133,23 +169,41 @@ class Index:
         entry = np.repeat(self.first[slot] - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
         return np.repeat(at, many), self.item[entry].astype(np.int64), self.place[entry].astype(np.int64)
 
+    def evidence(self, texts: list[list[str]]) -> np.ndarray:
+        """For each text and item, flat, the number of the item's own word pairs that stand in the text."""
+        out = np.zeros(len(texts) * len(self.ids), np.int64)
+        if not len(self.pairs):
+            return out
+        known = self.vocabulary.get
+        ids = [np.fromiter((known(w, -1) for w in words), np.int64, len(words)) for words in texts]
+        doc = np.repeat(np.arange(len(texts)), [len(w) for w in texts])
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+        good = (flat[:-1] >= 0) & (flat[1:] >= 0) & (doc[:-1] == doc[1:])
+        pair = (flat[:-1][good] << 32) | flat[1:][good]
+        slot = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        same = self.pairs[slot] == pair
+        # each pair counts once for a text, as often as the item has it
+        entry = np.unique(doc[:-1][good][same] * len(self.pairs) + slot[same])
+        text, slot = entry // len(self.pairs), entry % len(self.pairs)
+        many = self.pair_count[slot]
+        where = np.repeat(self.pair_first[slot] - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
+        np.add.at(out, np.repeat(text, many) * len(self.ids) + self.pair_item[where], 1)
+        return out
+
 
 class Common:
-    """What many items share: standing instructions (word runs), and q-grams and word pairs of turns of phrase."""
+    """What many items share: standing instructions (word runs), and word pairs of turns of phrase."""
 
     def __init__(self, items: list[tuple[int, str]], budget: Budget, run: int, share: float, least: int) -> None:
         self.run = run
-        runs, grams, pairs = Counter(), [], Counter()
+        runs, pairs = Counter(), Counter()
         for _, text in items:
             words = words_of(text)
             runs.update({tuple(words[k : k + run]) for k in range(len(words) - run + 1)})
             pairs.update(set(zip(words, words[1:])))
-            grams.append(np.unique(_grams(np.frombuffer(_squash(words), np.uint8))))
-        most = max(2, budget.own * len(items))
+        most = max(budget.own_least, budget.own * len(items))
         self.runs = {r for r, n in runs.items() if n >= least and n >= share * len(items)}
         self.pairs = {p for p, n in pairs.items() if n > most}
-        every, count = np.unique(np.concatenate(grams) if grams else np.zeros(0, np.uint64), return_counts=True)
-        self.grams = every[count > most]
 
     def standing(self, words: list[str]) -> list[bool]:
         masked = [False] * len(words)
@@ -159,11 +213,19 @@ class Common:
         return masked
 
 
-def aligned(item: list[str], masked: list[bool], own: list[bool], text: list[str], shift: int, budget: Budget, reach: int = 10) -> bool:
+def aligned(item: list[str], masked: list[bool], own: list[bool], text: list[str], shift: int, budget: Budget, reach: int = 12) -> bool:
     """Whether a run of at least budget.words item words stands in the text around the diagonal `shift`.
 
-    Local alignment in a band of words: a match gains 1, a changed, dropped or inserted word costs 2. Masked
-    words neither gain nor count. Of the own pairs of the run enough must stand side by side in the text.
+    Local alignment in a band of words. At a high cost of wrong words a run begins where it is clean, at a low
+    one it lives on through changes near its beginning; one of the two must find it.
+    """
+    return any(_run(item, masked, own, text, shift, budget, reach, gain, cost) for gain, cost in ((1, 2), (2, 1)))
+
+
+def _run(item: list[str], masked: list[bool], own: list[bool], text: list[str], shift: int, budget: Budget, reach: int, gain: int, cost: int) -> bool:
+    """One local alignment: a match gains `gain`, a changed, dropped or inserted word costs `cost`.
+
+    Masked words neither gain nor count. A run with wrong words needs the evidence of the budget.
     """
     width = 2 * reach + 1
     # score, item words, wrong words, own pairs, own pairs kept, whether the last word matched
@@ -177,19 +239,23 @@ def aligned(item: list[str], masked: list[bool], own: list[bool], text: list[str
             found = word == text[begin + b]
             if not found and above[b] is none and above[b + 1] is none and row[b - 1] is none:
                 continue  # nothing to carry on
-            score, span, wrong, pairs, kept, last = above[b]
+            before = above[b]
+            score, span, wrong, pairs, kept, last = before
+            pairs += 0 if before is none else pair  # the pair in front of a run is not the run's
             if found:
-                best = (score + counts, span + counts, wrong, pairs + pair, kept + (pair if last else 0), True)
-                if best[1] >= budget.words and best[2] <= budget.share * best[1] and best[4] >= budget.pairs * best[3]:
-                    return True
+                best = (score + gain * counts, span + counts, wrong, pairs, kept + (pair if last else 0), True)
+                if best[1] >= budget.words and best[2] <= budget.share * best[1]:
+                    enough = best[4] >= budget.few and best[4] >= budget.most * best[3] or best[4] >= budget.pairs and best[4] >= budget.kept * best[3]
+                    if not best[2] or enough:
+                        return True
             else:
-                best = (score - 2, span + counts, wrong + 1, pairs + pair, kept, False)
+                best = (score - cost, span + counts, wrong + 1, pairs, kept, False)
                 score, span, wrong, pairs, kept, last = above[b + 1]  # item word dropped
-                if score - 2 > best[0]:
-                    best = (score - 2, span + counts, wrong + 1, pairs + pair, kept, False)
+                if score - cost > best[0]:
+                    best = (score - cost, span + counts, wrong + 1, pairs + pair, kept, False)
                 score, span, wrong, pairs, kept, last = row[b - 1]  # word inserted
-                if score - 2 > best[0]:
-                    best = (score - 2, span, wrong + 1, pairs, kept, False)
+                if score - cost > best[0]:
+                    best = (score - cost, span, wrong + 1, pairs, kept, False)
                 if best[0] <= 0:
                     best = none
             row[b] = best
@@ -200,37 +266,54 @@ def aligned(item: list[str], masked: list[bool], own: list[bool], text: list[str
 def leaked(texts: list[str], index: Index, budget: Budget) -> list[tuple[int, int]]:
     """(text number, item number) pairs of a list of texts."""
     words = [words_of(t) for t in texts]
-    squashed = [_squash(w) for w in words]
-    gap = b"\0" * Q
-    whole = np.frombuffer(gap.join(squashed) + gap, np.uint8)
-    begins = np.cumsum([0, *[len(s) + Q for s in squashed]])
+    spellings = [spelled(w) for w in words]
+    gap = "\0" * Q
+    whole = _units([part for s in spellings for part in (*s, gap)])
+    begins = np.cumsum([0, *[sum(map(len, s)) + Q for s in spellings]])
     at, item, place = index.hits(_grams(whole))
     if not len(at):
         return []
     doc = np.searchsorted(begins, at, side="right") - 1
-    diagonal = at - begins[doc] - place + (1 << 20)
-    span = (int(diagonal.max()) // budget.band + 3) if len(diagonal) else 1
     pair = doc * len(index.ids) + item
-    found: dict[tuple[int, int], list[int]] = {}
-    for half in (0, budget.band // 2):
-        key = pair * span + (diagonal + half) // budget.band
-        keys, begin, count = np.unique(key, return_index=True, return_counts=True)
-        enough = count >= index.need[item[begin]]
-        for k, b in zip(keys[enough], begin[enough]):
-            found.setdefault((int(doc[b]), int(item[b])), []).append(int((k % span) * budget.band - half + budget.band // 2 - (1 << 20)))
+    at = at - begins[doc]
+    # whatever the alignment may accept has own pairs, or a passage word for word in one band
+    some = index.evidence(words) >= budget.few
+    total = np.bincount(pair, minlength=len(some))
+    need, all_of = np.tile(index.need, len(texts)), np.tile(index.whole, len(texts))
+    hopeful = (total >= need) & (some | (total >= all_of))
+    left = hopeful[pair]
+    at, item, place, pair = at[left], item[left], place[left], pair[left]
+    if not len(at):
+        return []
+    some = some[pair]
+    base = 1 << 32
+    diagonal = at - place + base
+    found: dict[int, list[np.ndarray]] = {}
+    half = budget.band // 2
+    span = (int(diagonal.max()) + budget.band) // budget.band + 1
+    low_span = int(diagonal.min()) // budget.band - 1
+    width = span - low_span + 1
+    for offset in (0, half):
+        key = pair * width + (diagonal + offset) // budget.band - low_span
+        order = np.argsort(key, kind="stable")
+        keys, begin, count = np.unique(key[order], return_index=True, return_counts=True)
+        head = order[begin]
+        enough = (count >= index.need[item[head]]) & (some[head] | (count >= index.whole[item[head]]))
+        for b, n in zip(begin[enough], count[enough]):
+            found.setdefault(int(pair[order[b]]), []).append(order[b : b + n])
     out = []
-    for (d, i), diagonals in found.items():
-        starts = np.cumsum([0, *map(len, words[d])])
+    starts: dict[int, np.ndarray] = {}
+    for p, bands in found.items():
+        d, i = divmod(p, len(index.ids))
+        if d not in starts:
+            starts[d] = np.cumsum([0, *map(len, spellings[d])])
         tried: list[int] = []
-        for shift in diagonals:
-            # the diagonal in words, taken where the item begins to overlap the text and where it ends
-            n_chars = len(squashed[d])
-            low, high = max(0, -shift), min(int(index.starts[i][-1]), n_chars - shift)
-            for p in (low, (low + high) // 2, max(low, high - 1)):
-                a = int(np.searchsorted(index.starts[i], p, side="right")) - 1
-                c = int(np.searchsorted(starts, p + shift, side="right")) - 1
-                if not any(abs(c - a - t) <= 3 for t in tried):
-                    tried.append(c - a)
+        for rows in bands:
+            # the middle diagonal of the band, in words
+            shifts = np.searchsorted(starts[d], at[rows], side="right") - np.searchsorted(index.starts[i], place[rows], side="right")
+            for shift in {int(np.median(shifts)), int(np.percentile(shifts, 10)), int(np.percentile(shifts, 90))}:
+                if not any(abs(shift - t) <= 4 for t in tried):
+                    tried.append(shift)
         if any(aligned(index.words[i], index.masked[i], index.own[i], words[d], t, budget) for t in tried):
             out.append((d, i))
     return out
@@ -244,15 +327,22 @@ def leaks(
     shared_share: float = 0.05,
     shared_least: int = 5,
     block_chars: int = 4_000_000,
+    item_chars: int = 64_000_000,
 ) -> DataFrame:
     """Pairs (doc_id, item_id) of documents and the items a passage of which they hold.
 
-    Items are a stated query set of bounded size: they are indexed in blocks of at most block_chars characters
-    each, sent to the executors one after the other, against all documents. Null and empty texts on either
-    side give no pairs; repeated documents each give theirs. No shuffle.
+    Items are a stated query set: their size is measured first, and a set beyond item_chars characters is an
+    error that asks to split it, never a silent cut. They are indexed in blocks of at most block_chars
+    characters, sent to the executors one after the other, against all documents. In scripts without spaces
+    a letter counts as a word. A word run that `shared_least` items and a `shared_share` of them have is a
+    standing instruction. Null and empty texts on either side give no pairs; repeated documents each give
+    theirs. No shuffle.
     """
-    stated = [(int(r[0]), r[1]) for r in items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text is not null").toLocalIterator()]
-    stated.sort()
+    known = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    size = known.agg(F.sum(F.length("text"))).first()[0] or 0
+    if size > item_chars:
+        raise ValueError(f"{size} characters of items are more than {item_chars}: search them in parts")
+    stated = sorted((int(r[0]), r[1]) for r in known.toLocalIterator())
     common = Common(stated, budget, run, shared_share, shared_least)
     blocks: list[list[tuple[int, str]]] = [[]]
     room = block_chars
