@@ -207,8 +207,8 @@ def test_recurring_lines_are_subtracted(spark):
 
 def test_notices_without_common_words(spark):
     lines = ["400 Bad Request", "401 Unauthorized", "408 Request Timeout", "410 Gone", "422 Unprocessable Entity", "Page  not\xa0 found", "Access\xa0denied", "JS  is off"]
-    assert [residue.kind_of(x) for x in lines] == ["error"] * 7 + ["script"] and residue.kind_of("NA") == "filler"
-    texts = ["400 Bad Request", "NA", "Home | Sign in\n\nVelna morit dasu kelor pinta suvo.", "The reviewer compared 89 retries and left the token count unchanged."]
+    assert [residue.kinds([x])[0] for x in lines] == ["error"] * 7 + ["script"] and residue.kinds(["NA"]) == ["filler"]
+    texts = ["400 Bad Request", "NA", "Home | Sign in\n\nVelits morbe dolum kelor nisu magnor.", "The reviewer compared 89 retries and left the token count unchanged."]
     assert {r["doc_id"] for r in residue.residue(documents(spark, texts)).collect()} == {0, 1, 2}
 
 
