@@ -36,6 +36,7 @@ _HIDDEN = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 #: Scripts written without spaces (fixed ranges of Unicode): each of their letters is a word.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af"
 _WORD = re.compile(f"[{_UNSPACED}]|[^\\W_{_UNSPACED}]+")
+_HIGH = re.compile("[\u0300-\U0010ffff]+")
 _LETTER = re.compile(f"[{_UNSPACED}]")
 
 
@@ -51,13 +52,13 @@ def words_of(text: str) -> list[str]:
     if "\n" in text:
         text = _HYPHEN.sub("", text)
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        text = _HIGH.sub(lambda m: "".join(c for c in m[0] if not unicodedata.combining(c)), unicodedata.normalize("NFKD", text))
     return _WORD.findall(text.casefold())
 
 
 def spelled(words: list[str]) -> list[str]:
     """Words as they enter the q-grams: a letter that is a word is spelled with four signs, about a word's length."""
-    if not any(len(w) == 1 and w >= "\u0e00" for w in words):
+    if not _LETTER.search("".join(words)):
         return words
     return [
         w + chr(0xF0000 + (ord(w) & 0xFFF0)) + chr(0x100000 + (ord(w) & 0xFFF0)) + chr(0xF0000 + (ord(w) & 0xF)) if len(w) == 1 and _LETTER.match(w) else w for w in words
@@ -230,8 +231,12 @@ def _run(item: list[str], masked: list[bool], own: list[bool], text: list[str],
     width = 2 * reach + 1
     # score, item words, wrong words, own pairs, own pairs kept, whether the last word matched
     none = (0, 0, 0, 0, 0, False)
-    above, end = [none] * (width + 2), len(text)
+    above, end, there = [none] * (width + 2), len(text), set(text)
+    live = False
     for i, word in enumerate(item):
+        if not live and word not in there:
+            continue
+        live = False
         row = [none] * (width + 2)
         counts, pair = 0 if masked[i] else 1, 1 if own[i] else 0
         begin = i + shift - 1 - reach
@@ -259,6 +264,7 @@ def _run(item: list[str], masked: list[bool], own: list[bool], text: list[str],
                 if best[0] <= 0:
                     best = none
             row[b] = best
+            live = live or best is not none
         above = row
     return False
 
