@@ -28,12 +28,12 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path, depth, root and number of descendants of every span and tool call, and the loops."""
-    return hierarchy.contract(_links(spark, sf_dir))
+    return hierarchy.contract(_links(spark, sf_dir)).select(*hierarchy.RESULT)
 
 
 def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All descendants of every node, with their distance."""
-    return hierarchy.descendants(p5_found(spark, sf_dir))
+    return hierarchy.descendants(hierarchy.contract(_links(spark, sf_dir)))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,12 +77,12 @@ one as (select src_table, tree_id, node_id, min(case when regexp_full_match(pare
 nodes as (select a.src_table, a.tree_id, a.node_id, b.node_id as parent from one a
           left join one b on a.src_table = b.src_table and a.tree_id = b.tree_id and a.parent = b.node_id),
 down as (
-  select src_table, tree_id, node_id, node_id as root_id, 0 as depth, node_id as node_path from nodes where parent is null
+  select src_table, tree_id, node_id, node_id as root_id, 0 as depth, node_id as node_path, [node_id] as parts from nodes where parent is null
   union all
-  select n.src_table, n.tree_id, n.node_id, d.root_id, d.depth + 1, d.node_path || '/' || n.node_id
+  select n.src_table, n.tree_id, n.node_id, d.root_id, d.depth + 1, d.node_path || '/' || n.node_id, list_append(d.parts, n.node_id)
   from nodes n join down d on n.src_table = d.src_table and n.tree_id = d.tree_id and n.parent = d.node_id),
 up as (select src_table, tree_id, node_id, p.anc, (depth - p.pos + 1)::int as distance from
-        (select *, string_split(node_path, '/') as parts from down where depth > 0),
+        (select * from down where depth > 0),
         lateral (select unnest(parts[:-2]) as anc, generate_subscripts(parts[:-2], 1) as pos) p),
 rest as (select * from nodes n where not exists (select 1 from down d where d.src_table = n.src_table and d.tree_id = n.tree_id and d.node_id = n.node_id)),
 walk as (

@@ -70,3 +70,12 @@ def test_empty_and_descendants(spark):
     df = spark.createDataFrame([("t", "a", None, 1, ""), ("t", "b", "a", 1, ""), ("t", "c", "b", 1, "")], SCHEMA)
     found = hierarchy.descendants(hierarchy.contract(hierarchy.edges(df, "s", "tree_id", "node_id", "parent")))
     assert sorted((r["ancestor_id"], r["node_id"], r["distance"]) for r in found.collect()) == [("a", "b", 1), ("a", "c", 2), ("b", "c", 1)]
+
+
+def test_ids_may_hold_slashes_and_stars_are_wide(spark):
+    rows = [("t", "a/b", None), ("t", "c", "a/b"), ("t", "d/e/f", "c")] + [("star", f"n{k}", None if k == 0 else "n0") for k in range(3000)]
+    found = hierarchy.contract(hierarchy.edges(spark.createDataFrame(rows, "tree string, node string, up string"), "s", "tree", "node", "up"))
+    got = {(r["ancestor_id"], r["node_id"], r["distance"]) for r in hierarchy.descendants(found).filter("tree_id = 't'").collect()}
+    assert got == {("a/b", "c", 1), ("a/b", "d/e/f", 2), ("c", "d/e/f", 1)}
+    assert {r["n_below"] for r in found.filter("tree_id = 'star' and depth = 0").collect()} == {2999}
+    assert found.filter("depth = 2").first()["node_path"] == "a/b/c/d/e/f"
