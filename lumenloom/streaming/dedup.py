@@ -3,9 +3,11 @@
 A keyed state store remembers the best copy of every identifier seen within an event-time horizon. Each
 arriving row either opens a key, or loses against the remembered copy, or replaces it; the loser leaves the
 query at once as surplus. Keys older than the watermark leave the store and go to a history that is part of
-the output; a Bloom filter over them stays in the state. A key that opens while the filter knows it is
-logged, and the late-arrival lookup settles it against the history. State, output and source offsets are
-committed together by the checkpoint, so a restart neither loses nor repeats a row.
+the output. About ten bits of every key that left stay in a Bloom filter, so that is what grows with the
+history; all else in the state is bounded by the horizon. A bucket lets go when it next receives rows: a timer
+of the event time would drop late rows, one of the clock would keep a bounded run from ending. A key that opens while the filter knows it is logged, and the late-arrival lookup
+settles it against the history. State, output and source offsets are committed together by the checkpoint,
+so a restart neither loses nor repeats a row.
 """
 
 from __future__ import annotations
@@ -124,6 +126,8 @@ def _merge(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iter
     for part in parts:
         lost.append(part.loc[part["lost"], ["key", "ts", "row_id"]])
         fresh.append(part.loc[~part["lost"], ["key", "ts", "row_id"]])
+    fresh = [f for f in fresh if len(f)] or [pd.DataFrame({"key": pd.Series([], dtype=object), "ts": pd.Series([], dtype="int64"), "row_id": pd.Series([], dtype="int64")})]
+    lost = lost or [fresh[0].iloc[:0]]
     new = pd.concat(fresh).assign(old=False, suspect=False)
     rows = new if hot is None else pd.concat([hot.assign(old=True), new])
     rows = rows.sort_values(["ts", "row_id"], kind="stable", ignore_index=True)
@@ -144,7 +148,8 @@ def _merge(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iter
     gone = kept[past]
     if len(gone):
         bloom.add(_hash(gone["key"]))
-    state.update((pickle.dumps((kept.loc[~past, ["key", "ts", "row_id", "suspect"]], bloom), 5),))
+    stay = kept.loc[~past, ["key", "ts", "row_id", "suspect"]]
+    state.update((pickle.dumps((stay, bloom), 5),))
     yield pd.concat(
         [frame[["key", "ts", "row_id"]].assign(kind=kind) for kind, frame in (("surplus", pd.concat(lost)), ("opened", logged), ("evicted", gone))]
     )[["kind", "key", "ts", "row_id"]]
@@ -186,21 +191,23 @@ def settle(log: DataFrame) -> DataFrame:
 
 
 def surplus(
-    spark: SparkSession, rows: DataFrame, horizon: str = "7 days", batches: int = 4, keys_per_bucket: int = 100_000
+    spark: SparkSession, rows: DataFrame, horizon: str = "7 days", batches: int = 4, keys_per_bucket: int = 20_000, rows_per_batch: int = 50_000_000
 ) -> DataFrame:
     """Surplus rows (key, row_id) of a table of deliveries, replayed as a stream in order of receipt.
 
-    horizon: how long a key stays in the store after its copy was received; it bounds the state, not the
-    result. batches: micro-batches of the replay. keys_per_bucket: state rows that one store value may hold;
-    the number of buckets follows the number of rows. Ties in received_at go to the smallest row_id. An empty
-    table gives an empty result.
+    horizon: how long a key stays in the store after its copy was received; it bounds what the store holds,
+    not the result. batches: least number of micro-batches of the replay, more if one would hold more than
+    rows_per_batch rows. keys_per_bucket: rows of the table for one store value; the number of buckets follows
+    the number of rows. Ties in received_at go to the smallest row_id; rows of one time, or none, are spread
+    over the slices by their number. An empty table gives an empty result.
     """
     log = new_folder(spark, "dedup")
     slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(slices, "received_at").write.option("compression", "zstd").parquet(f"{log}/slices")
+    rows.repartitionByRange(slices, "received_at", "row_id").write.option("compression", "zstd").parquet(f"{log}/slices")
     staged = spark.read.parquet(f"{log}/slices")
     count = staged.count()
     buckets = max(32, 1 << math.ceil(math.log2(max(1, count) / keys_per_bucket + 1)))
+    batches = max(batches, math.ceil(count / rows_per_batch))
     if count:
         source = (
             spark.readStream.schema(staged.schema)

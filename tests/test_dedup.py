@@ -84,3 +84,18 @@ def test_bloom_never_forgets():
 def test_ident(spark):
     row = spark.createDataFrame([("\t X1　",)], "a string").select(dedup.ident(F.col("a")).alias("a")).first()
     assert row["a"] == "x1"
+
+
+
+def test_the_store_holds_no_more_than_the_horizon(spark, tmp_path):
+    schema = "key string, received_at timestamp, row_id long"
+    day = dt.timedelta(days=1)
+    source = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    for n in range(5):  # sixty new keys a day, and one of the first day again
+        rows = [(f"k{n}-{k}", T0 + n * day, n * 100 + k) for k in range(60)] + [("k0-7", T0 + n * day + dt.timedelta(hours=1), n * 100 + 99)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+        dedup.run_stream(source(), str(tmp_path / "out"), str(tmp_path / "check"), "1 day", 1)
+    log = spark.read.parquet(str(tmp_path / "out"))
+    assert {r["row_id"] for r in dedup.settle(log).collect()} == {99, 199, 299, 399, 499}
+    gone = {r["key"] for r in log.filter("kind = 'evicted'").collect()}
+    assert gone >= {f"k{n}-{k}" for n in range(3) for k in range(60)}
