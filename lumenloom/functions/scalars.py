@@ -43,9 +43,13 @@ def condition_id(levels: dict[str, Column]) -> Column:
     return F.left(F.sha2(canonical_json(levels), 256), F.lit(12))
 
 
-def short_model(model: Column) -> Column:
-    """A label from a model id: parts in capitals, without a date suffix."""
-    return F.initcap(F.regexp_replace(F.regexp_replace(model, r"-\d{8}$", ""), r"[-_]+", " "))
+def short_model(model: Column, known: dict[str, str] | None = None) -> Column:
+    """A label of a model id: a known one, else the family in capitals with its version and its suffix, else the id itself."""
+    pattern = r"^claude-([a-z]+)-([0-9]+(?:-[0-9]+)*)(\[.*\])?$"
+    part = lambda k: F.regexp_extract(model, pattern, k)
+    derived = F.concat(F.initcap(part(1)), F.lit(" "), F.replace(part(2), F.lit("-"), F.lit(".")), F.when(part(3) != "", F.concat(F.lit(" "), F.upper(part(3)))).otherwise(""))
+    listed = [F.when(model == k, v) for k, v in (known or {}).items()]
+    return F.coalesce(*listed, F.when(model.rlike(pattern), derived), model)
 
 
 def count_words(text: Column) -> Column:
@@ -61,22 +65,6 @@ def clamp(value: Column, low: Column, high: Column) -> Column:
     return F.greatest(low, F.least(value, high))
 
 
-def parse_verdict(text: Column) -> Column:
-    """Boolean verdict of a free text; unreadable is false."""
-    hit = F.regexp_extract(text, r'(?i)"?(?:passed|pass|verdict|result)"?\s*[:=]\s*"?(true|false|yes|no|pass|fail)', 1)
-    return F.coalesce(F.lower(hit).isin("true", "yes", "pass"), F.lit(False))
-
-
-def parse_score(text: Column, low: float, high: float) -> Column:
-    """Score of a free text: a named score, else a fraction, else the last number on the scale; null if none."""
-    named = F.nullif(F.regexp_extract(text, r'(?i)"?score"?\s*[:=]\s*"?(-?\d+(?:\.\d+)?)', 1), F.lit(""))
-    of = F.nullif(F.regexp_extract(text, r"(-?\d+(?:\.\d+)?)\s*/\s*\d+", 1), F.lit(""))
-    all_of = F.transform(F.regexp_extract_all(text, F.lit(r"(-?\d+(?:\.\d+)?)"), F.lit(1)), lambda x: x.cast("double"))
-    on = F.filter(all_of, lambda x: x.between(low, high))
-    last = F.when(F.size(on) > 0, F.element_at(on, -1))
-    return F.coalesce(named.cast("double"), of.cast("double"), last)
-
-
 def effect_band(value: Column) -> Column:
     """small below 0.06, medium below 0.14, else large."""
     return F.when(value < 0.06, "small").when(value < 0.14, "medium").otherwise("large")
@@ -103,7 +91,8 @@ def billed_cost(conversation: Column, models: Column) -> Column:
 
 
 def is_denial(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"(?i)permission denied|not permitted|requires approval|denied by|not allowed"), F.lit(False))
+    """Whether an error says that a permission was missing (fixed phrases, any letter case)."""
+    return F.coalesce(text.rlike(r"(?i)permission denied|not allowed|disallowed|not permitted|user denied"), F.lit(False))
 
 
 def is_real_model(name: Column) -> Column:
@@ -119,3 +108,77 @@ def number_text(value: Column) -> Column:
 def tool_failed(result: Column) -> Column:
     """"error" within the first 50 characters of a result."""
     return F.coalesce(F.instr(F.lower(F.left(result, F.lit(50))), "error") > 0, F.lit(False))
+
+
+def text_of(value: Column, kind: str = "num") -> Column:
+    """A number as reports show it: usd, pct, int, time, tokens or plain with two digits; -- for null."""
+    whole = F.floor(value).cast("bigint")
+    forms = {
+        "usd": F.concat(F.lit("$"), F.format_number(value, 2)),
+        "pct": F.concat(F.format_string("%.1f", value.cast("double") * 100), F.lit("%")),
+        "int": F.format_number(whole, 0),
+        "time": F.when(value < 60, F.concat(whole.cast("string"), F.lit("s"))).otherwise(F.concat(F.floor(value / 60).cast("string"), F.lit(" min"))),
+        "tokens": F.when(value >= 1_000_000, F.concat(F.format_string("%.1f", value.cast("double") / 1e6), F.lit("M")))
+        .when(value >= 1000, F.concat(F.format_string("%.1f", value.cast("double") / 1e3), F.lit("K")))
+        .otherwise(whole.cast("string")),
+    }
+    return F.when(value.isNull(), "--").otherwise(forms.get(kind, F.format_string("%.2f", value.cast("double"))))
+
+
+def range_text(average: Column, low: Column, high: Column, count: Column, kind: str = "num") -> Column:
+    """average (low-high), the average alone for one value, -- for none."""
+    both = F.concat(text_of(average, kind), F.lit(" ("), text_of(low, kind), F.lit("-"), text_of(high, kind), F.lit(")"))
+    return F.when(count == 0, "--").when(count == 1, text_of(average, kind)).otherwise(both)
+
+
+def strict_number(document: Column, path: str) -> Column:
+    """A number of a document; a flag or a text is none."""
+    kind = F.schema_of_variant(F.try_variant_get(document, path, "variant"))
+    return F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(document, path, "double"))
+
+
+def strict_int(document: Column, path: str) -> Column:
+    """A whole number of a document, 0 for anything else."""
+    kind = F.schema_of_variant(F.try_variant_get(document, path, "variant"))
+    return F.coalesce(F.when(kind.startswith("BIGINT"), F.try_variant_get(document, path, "bigint")), F.lit(0))
+
+
+def seconds_between(started: Column, finished: Column) -> Column:
+    """Seconds between two ISO 8601 times, at least 0; null if one cannot be read."""
+    at = lambda c: F.unix_micros(c.try_cast("timestamp"))
+    return F.greatest((at(finished) - at(started)) / 1e6, F.lit(0.0))
+
+
+def tool_summary(name: Column, arguments: Column) -> Column:
+    """What a call is about, in a line: its path, command, pattern, query or first argument (arguments as JSON text)."""
+    v = F.try_parse_json(arguments)
+    get = lambda k: F.try_variant_get(v, f"$.{k}", "string")
+    cut = lambda c, n: F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n)), F.lit("..."))).otherwise(c)
+    known = lambda *keys: F.coalesce(*map(get, keys), F.lit("?"))
+    some = lambda k: F.when(~F.coalesce(get(k), F.lit("")).isin("", "0", "false"), F.concat(F.lit(k + "="), get(k)))
+    filled = lambda k: F.nullif(get(k), F.lit(""))
+    members = F.map_entries(F.from_json(arguments, "map<string,string>"))
+    first = F.get(members, F.lit(0))
+    return (
+        F.when(name == "Read", F.concat_ws(", ", known("file_path"), some("offset"), some("limit")))
+        .when(name == "Bash", cut(known("command"), 200))
+        .when(name == "Agent", F.coalesce(F.concat(F.lit('"'), filled("description"), F.lit('"')), cut(filled("prompt"), 100), F.lit("(no description)")))
+        .when(name.isin("Edit", "Write"), known("file_path"))
+        .when(name.isin("Glob", "Grep"), known("pattern", "query"))
+        .when(name == "WebFetch", known("url"))
+        .when(name == "WebSearch", known("query"))
+        .when(name == "Skill", known("skill"))
+        .otherwise(F.coalesce(F.concat(first["key"], F.lit("="), cut(first["value"], 100)), F.lit("(no input)")))
+    )
+
+
+def unescaped(text: Column) -> Column:
+    """Written line breaks and tabs as such."""
+    return F.replace(F.replace(text, F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t"))
+
+
+def front_matter(text: Column) -> Column:
+    """(head, body) of a text with a block between lines of three hyphens; head is null where there is none."""
+    pattern = r"(?s)^---\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n(.*))?$"
+    has = text.rlike(pattern)
+    return F.struct(F.when(has, F.regexp_extract(text, pattern, 1)).alias("head"), F.when(has, F.regexp_extract(text, pattern, 2)).otherwise(text).alias("body"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import shlex
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_READERS = {"cat", "head", "tail", "sed", "less", "more", "nl", "wc", "grep", "awk"}
-_WITH_SCRIPT = {"sed", "grep", "awk"}
+_SHELLS = {"bash", "sh", "zsh", "dash"}
+#: Options that take a value: of the readers a number, of sed a program or a file of one.
+_COUNTED = {"-n", "--lines", "-c", "--bytes"}
 _INTERPRETERS = {"python", "python3", "bash", "sh", "node", "ruby", "perl"}
 
 
@@ -37,16 +39,53 @@ def commands(text: str) -> list[list[str]]:
     return [c for c in out if c]
 
 
+def _plain_words(text: str) -> list[str]:
+    """Words of one simple command without its redirections; [] for pipelines, lists, substitutions and broken quoting."""
+    try:
+        words = shlex.split(text)
+        if words and words[0].rpartition("/")[2] in _SHELLS:
+            if not any(w.startswith("-") and "c" in w for w in words[1:-1]):
+                return []
+            words = shlex.split(words[-1])
+    except ValueError:
+        return []
+    if any("$(" in w or "`" in w or w.startswith(("<(", ">(")) for w in words):
+        return []
+    kept, skip = [], False
+    for w in words:
+        arrow = re.match(r"(?:\d*|&)(?:>>?|<<?<?)(?:&\d+|&-)?", w)
+        if skip:
+            skip = False
+        elif arrow and arrow[0]:
+            skip = arrow[0] == w and "&" not in w[1:]  # the target is the next word
+        else:
+            kept.append(w)
+    return [] if any(c in w for w in kept for c in "|;&") else kept
+
+
 def read_paths(text: str) -> list[str]:
-    """Files that the readers among the commands name."""
-    found = []
-    for name, *rest in commands(text):
-        if name not in _READERS:
+    """Files that a simple cat, sed, head or tail reads."""
+    name, *rest = _plain_words(text) or [""]
+    name = name.rpartition("/")[2]
+    if name == "cat":
+        return [w for w in rest if w and not w.startswith("-")]
+    if name not in ("sed", "head", "tail"):
+        return []
+    found, words, program = [], iter(rest), name != "sed"
+    for w in words:
+        if name == "sed" and w in ("-e", "--expression", "-f", "--file"):
+            value = next(words, None)
+            program = True
+            if w in ("-f", "--file") and value is not None:
+                found.append(value)
+        elif name != "sed" and w in _COUNTED:
+            next(words, None)
+        elif w.startswith("-"):
             continue
-        plain = [w for w in rest if not w.startswith("-")]
-        if name in _WITH_SCRIPT and plain:
-            plain = plain[1:]
-        found += [w for w in plain if not w.isdigit()]
+        elif not program:
+            program = True
+        else:
+            found.append(w)
     return found
 
 

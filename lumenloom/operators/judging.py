@@ -71,31 +71,44 @@ def judge_aggregate(results: DataFrame, *keys: str) -> DataFrame:
 
 
 def reduce_samples(samples: DataFrame, *keys: str, order: str) -> DataFrame:
-    """One value for repeated samples: strict majority of bools, lower median of numbers, else the first."""
-    v = F.col("value_num")
-    first = F.min_by("value_str", order)
-    votes = F.count_if("value_bool")
-    grouped = samples.filter("value_kind is not null").groupBy(*keys).agg(
+    """One value for repeated samples: strict majority if all are bools, lower median if all are numbers, else the first.
+
+    Where every sample failed the row has no value and the first error. stable: none failed and all agree.
+    """
+    v, kind = F.col("value_num"), F.col("value_kind")
+    there = kind.isNotNull()
+    first = F.min_by(F.when(there, F.struct("value_kind", "value_bool", "value_num", "value_str")), F.when(there, F.col(order)))
+    text = F.coalesce(F.col("value_str"), v.cast("string"), F.col("value_bool").cast("string"))
+    grouped = samples.groupBy(*keys).agg(
         F.count("*").alias("samples"),
-        F.min("value_kind").alias("value_kind"),
-        (votes * 2 > F.count("value_bool")).alias("_bool"),
+        F.count(kind).alias("_there"),
+        F.count_if(~there & F.col("error").isNotNull()).alias("errors"),
+        F.min_by("error", F.when(F.col("error").isNotNull(), F.col(order))).alias("_error"),
+        F.min(kind).alias("_least"),
+        F.max(kind).alias("_most"),
+        F.count_if("value_bool").alias("passes"),
         F.expr("percentile_disc(0.5) within group (order by value_num)").alias("_median"),
         first.alias("_first"),
         F.min(v).alias("lowest"),
         F.max(v).alias("highest"),
         F.round(F.avg(v), 2).alias("mean"),
-        (F.countDistinct(F.coalesce(v.cast("string"), F.col("value_bool").cast("string"), F.col("value_str"))) == 1).alias("stable"),
+        (F.min(F.when(there, text)) == F.max(F.when(there, text))).alias("_agree"),
     )
+    one = F.col("_least") == F.col("_most")
+    flags, numbers = one & (F.col("_least") == "bool"), one & (F.col("_least") == "num")
     return grouped.select(
         *keys,
         "samples",
-        F.when(F.col("value_kind") == "bool", F.col("_bool")).alias("value_bool"),
-        F.when(F.col("value_kind") == "num", F.col("_median")).alias("value_num"),
-        F.when(F.col("value_kind") == "str", F.col("_first")).alias("value_str"),
-        "lowest",
-        "highest",
-        "mean",
-        "stable",
+        "errors",
+        F.when(one, F.col("_least")).otherwise(F.col("_first.value_kind")).alias("value_kind"),
+        F.when(flags, F.col("passes") * 2 > F.col("_there")).when(~numbers, F.col("_first.value_bool")).alias("value_bool"),
+        F.when(numbers, F.col("_median")).when(~flags, F.col("_first.value_num")).alias("value_num"),
+        F.col("_first.value_str").alias("value_str"),
+        F.when(F.col("_there") == 0, F.coalesce("_error", F.lit("all samples failed"))).alias("error"),
+        F.when(numbers, F.col("lowest")).alias("lowest"),
+        F.when(numbers, F.col("highest")).alias("highest"),
+        F.when(numbers, F.col("mean")).alias("mean"),
+        F.coalesce((F.col("errors") == 0) & F.col("_agree"), F.lit(False)).alias("stable"),
     )
 
 
@@ -106,30 +119,106 @@ def stability(reduced: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def compose_reward(results: DataFrame, *keys: str, low: float = 1.0, high: float = 5.0) -> DataFrame:
-    """Default reward: 0 if a bool is false, else the mean of the normalised numbers, else 0 after errors, else 1."""
+def scale_of(ranges: dict[str, tuple[float, float]] | None, low: float, high: float) -> tuple[Column, Column]:
+    """Scale of the judge of a row: its own where it declares one, else the common one."""
+    own = (ranges or {}).items()
+    pick = lambda k, common: F.coalesce(*[F.when(F.col("judge") == j, float(r[k])) for j, r in own], F.lit(float(common)))
+    return pick(0, low), pick(1, high)
+
+
+def compose_reward(results: DataFrame, *keys: str, low: float = 1.0, high: float = 5.0, ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Default reward: 0 if a bool is false, else the mean of the normalised numbers, else 0 after errors, else 1.
+
+    ranges: scales of judges that declare one; the others are measured on [low, high].
+    """
+    low_, high_ = scale_of(ranges, low, high)
     return (
         results.groupBy(*keys)
         .agg(
             F.coalesce(F.bool_and("value_bool"), F.lit(True)).alias("_gate"),
-            F.avg(normalise(F.col("value_num"), low, high)).alias("_mean"),
+            F.avg(normalise(F.col("value_num"), low_, high_)).alias("_mean"),
             F.coalesce(F.bool_or(F.col("value_kind").isNull() & F.col("error").isNotNull()), F.lit(False)).alias("_failed"),
         )
         .select(*keys, F.when(~F.col("_gate"), 0.0).when(F.col("_mean").isNotNull(), F.col("_mean")).when(F.col("_failed"), 0.0).otherwise(1.0).alias("reward"))
     )
 
 
+def judge_value(low: Column | float, high: Column | float, raw: list[str] | tuple[str, ...] = ()) -> Column:
+    """What a reward sees of a row: a bool as 0 or 1, a number on its scale; of raw judges the number itself within [0, 1]."""
+    number = F.col("value_num")
+    kept = F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)) if raw else None
+    scaled = normalise(number, low, high)
+    return F.when(F.col("value_kind") == "bool", F.col("value_bool").cast("double")).otherwise(F.when(F.col("judge").isin(*raw), kept).otherwise(scaled) if raw else scaled)
+
+
+def metric_map(results: DataFrame, *keys: str) -> DataFrame:
+    """Map of judge to number for each case, bools as 0 and 1; other values stay out."""
+    value = F.coalesce(F.col("value_num"), F.col("value_bool").cast("double"))
+    found = results.select(*keys, F.struct("judge", value.alias("v")).alias("e")).groupBy(*keys)
+    return found.agg(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("e.v").isNotNull(), F.col("e"))))).alias("metrics"))
+
+
+def configured_reward(
+    results: DataFrame, *keys: str, judge: str | None = None, weights: dict[str, float] | None = None, formula: str | None = None, gate: bool = True,
+    low: float = 1.0, high: float = 5.0, ranges: dict[str, tuple[float, float]] | None = None, raw: tuple[str, ...] = (), normalise_judge: bool = False,
+) -> DataFrame:
+    """The reward a configuration asks for: one judge, weights, or a formula over judges by name; within [0, 1].
+
+    With gate a false bool makes it 0. A single judge counts as it is unless normalise_judge is set; raw judges
+    count as they are. A judge that is missing makes the single reward and a formula that reads it 0, and
+    leaves its weight out.
+    """
+    from lumenloom.functions.formula import names
+
+    low_, high_ = scale_of(ranges, low, high)
+    gated = F.coalesce(F.bool_and("value_bool"), F.lit(True)).alias("_gate")
+    clipped = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.nanvl(c, F.lit(None).cast("double")), F.lit(0.0))))
+    pick = lambda name, value: F.max(F.when(F.col("judge") == name, value))
+    if judge is not None:
+        rows = results.groupBy(*keys).agg(gated, pick(judge, judge_value(low_, high_, () if normalise_judge else (judge,))).alias("_v"))
+        value = F.col("_v")
+    elif weights is not None:
+        weight = F.coalesce(F.lit(None).cast("double"), *[F.when(F.col("judge") == j, float(w)) for j, w in weights.items()])
+        seen = judge_value(low_, high_, raw)
+        there = weight.isNotNull() & seen.isNotNull()
+        rows = results.groupBy(*keys).agg(gated, F.sum(F.when(there, weight)).alias("_w"), F.sum(F.when(there, weight * seen)).alias("_s"))
+        value = F.when(F.col("_w") > 0, F.col("_s") / F.col("_w"))
+    else:
+        read = names(formula)
+        rows = results.groupBy(*keys).agg(gated, *[pick(j, judge_value(low_, high_, raw)).alias(f"_j{k}") for k, j in enumerate(read)])
+        value = compile_formula(formula, {j: F.col(f"_j{k}") for k, j in enumerate(read)}).cast("double")
+    return rows.select(*keys, (F.when(~F.col("_gate"), 0.0).otherwise(clipped(value)) if gate else clipped(value)).alias("reward"))
+
+
 def weighted_reward(results: DataFrame, weights: dict[str, float], *keys: str, low: float, high: float, gate: bool = True) -> DataFrame:
     """Sum of weight times value over the judges that are there, divided by their weights; a false bool gates."""
-    weight = F.coalesce(*[F.when(F.col("judge") == j, w) for j, w in weights.items()])
-    value = F.when(F.col("value_kind") == "bool", F.col("value_bool").cast("double")).otherwise(normalise(F.col("value_num"), low, high))
-    there = weight.isNotNull() & value.isNotNull()
-    agg = results.groupBy(*keys).agg(
-        F.coalesce(F.bool_and("value_bool"), F.lit(True)).alias("_gate"),
-        F.try_divide(F.sum(F.when(there, weight * value)), F.sum(F.when(there, weight))).alias("_v"),
+    return configured_reward(results, *keys, weights=weights, low=low, high=high, gate=gate)
+
+
+def never_passed(results: DataFrame, *keys: str) -> DataFrame:
+    """failed_every_case of each judge: no bool was true; where there is no bool, nothing was scored and something failed."""
+    flags = F.count("value_bool")
+    return results.groupBy(*(keys or ("judge",))).agg(
+        F.when(flags > 0, F.count_if("value_bool") == 0)
+        .otherwise((F.count("value_kind") == 0) & (F.count_if(F.col("value_kind").isNull() & F.col("error").isNotNull()) > 0))
+        .alias("failed_every_case")
     )
-    kept = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("_v", F.lit(0.0))))
-    return agg.select(*keys, (F.when(~F.col("_gate"), 0.0).otherwise(kept) if gate else kept).alias("reward"))
+
+
+def unavailable_reason(errored: Column, metric: str, kind: str) -> Column:
+    """Why a metric under a threshold is missing: errors are named before skipping."""
+    failed = F.concat(F.lit(f"{metric} unavailable: judge errored on "), errored.cast("string"), F.when(errored == 1, " case").otherwise(" cases"))
+    return F.when(F.coalesce(errored, F.lit(0)) > 0, failed).otherwise(f"{metric} unavailable: judge skipped for all cases or not {kind}")
+
+
+def without_model_calls(judges: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Judges (name, judge_type, builtin) that call no model: neither llm nor agent, nor a builtin of kind llm or unknown.
+
+    kinds: (builtin, kind) of the registry.
+    """
+    known = judges.join(kinds, "builtin", "left")
+    calls = F.col("judge_type").isin("llm", "agent") | (F.col("judge_type") == "builtin") & F.coalesce(F.col("kind") == "llm", F.lit(True))
+    return known.filter(~F.coalesce(calls, F.lit(False))).select(*judges.columns)
 
 
 def formula_reward(wide: DataFrame, formula: str, judges: list[str], gate: Column | None = None) -> Column:
@@ -212,13 +301,26 @@ def pairwise_tally(cases: DataFrame, *keys: str) -> DataFrame:
 
 
 def pairwise_stability(runs: DataFrame, case: str, run: str) -> DataFrame:
-    """For each case of repeated comparisons: stable, and the majority (first seen, then by name, wins a tie)."""
+    """For each case of repeated comparisons: stable, and the majority (of equals the one seen first)."""
     votes = runs.groupBy(case, "winner").agg(F.count("*").alias("n"), F.min(run).alias("seen"))
     return votes.groupBy(case).agg(
         (F.count("*") == 1).alias("stable"), F.min_by("winner", F.struct(-F.col("n"), F.col("seen"), F.col("winner"))).alias("majority"), F.sum("n").alias("runs")
     )
 
 
+def agreement(runs: DataFrame, case: str, run: str) -> DataFrame:
+    """One row for repeated comparisons: runs, cases of the first run, stable ones, their share, and the counts of each run in order."""
+    first = runs.agg(F.min(run).alias("_first"))
+    cases = runs.join(first, F.col(run) == F.col("_first")).select(case).distinct()
+    stable = pairwise_stability(runs.join(cases, case, "left_semi"), case, run).agg(F.count("*").alias("total_cases"), F.count_if("stable").alias("stable_cases"))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(run, c))), lambda x: x[c])
+    tally = pairwise_tally(runs, run).agg(
+        F.count("*").alias("runs"), in_order("wins_a").alias("wins_a_counts"), in_order("wins_b").alias("wins_b_counts"), in_order("ties").alias("tie_counts")
+    )
+    # both sides have one row
+    return tally.crossJoin(F.broadcast(stable)).withColumn("agreement_rate", F.coalesce(F.try_divide("stable_cases", "total_cases"), F.lit(0.0)))
+
+
 def frontier(conditions: DataFrame, cost: str, quality: str) -> DataFrame:
     """conditions with on_frontier: no other costs no more and is as good, with one of the two better.
 

@@ -13,11 +13,36 @@ from pyspark.sql import types as T
 from lumenloom.functions.scalars import slug
 
 
-def unique_slugs(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """rows with slug; a repeated one gets -2, -3, ... in order."""
-    n = F.row_number().over(Window.partitionBy("_base").orderBy(order))
-    numbered = rows.withColumn("_base", slug(F.col(name))).withColumn("_n", n)
-    return numbered.withColumn("slug", F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", "_n"))).drop("_base", "_n")
+def unique_slugs(rows: DataFrame, name: str, order: str, path_safe: bool = False) -> DataFrame:
+    """rows with slug, each once: in order, a repeated base takes the first free of -2, -3, ...
+
+    A numbered slug may meet a base of that spelling: only where several bases are the same but for a number
+    at their end are these rows settled one after the other, all others are numbered by a window.
+    path_safe: letters of either case, dots and underscores stay, an empty slug becomes run.
+    """
+    base = F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.col(name), r"[^A-Za-z0-9._-]+", "-"), "^-+|-+$", ""), F.lit("")), F.lit("run")) if path_safe else slug(F.col(name))
+    based = rows.withColumn("_base", base)
+    family = F.regexp_replace("_base", r"(-\d+)+$", "")
+    schema = T.StructType([*based.schema.fields, T.StructField("slug", T.StringType())])
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order, kind="stable")
+        used, after, out = set(), {}, []
+        for b in group["_base"]:
+            s, k = b, after.get(b, 2)
+            while s in used:
+                s, k = f"{b}-{k}", k + 1
+            after[b] = k
+            used.add(s)
+            out.append(s)
+        return group.assign(slug=out)
+
+    sizes = based.groupBy(family.alias("_family")).agg((F.min("_base") != F.max("_base")).alias("_mixed"))
+    both = based.withColumn("_family", family).join(sizes, "_family")
+    number = F.row_number().over(Window.partitionBy("_base").orderBy(order))
+    plain = both.filter("not _mixed").withColumn("_k", number).withColumn("slug", F.when(F.col("_k") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", "_k")))
+    mixed = both.filter("_mixed").drop("_mixed").groupBy("_family").applyInPandas(lambda g: settle(g.drop(columns="_family")), schema)
+    return plain.drop("_family", "_mixed", "_base", "_k").unionByName(mixed.drop("_base"))
 
 
 def rank_colour(value: str, scope: list[str], higher_is_better: bool = True) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -30,11 +31,20 @@ def full_factorial(spark: SparkSession, factors: dict[str, list[str]]) -> DataFr
 
 
 def common_cases(rows: DataFrame, case: str, condition: str) -> DataFrame:
-    """Relational division: rows of the cases that every condition has."""
+    """Relational division: rows of the cases that every condition has; all rows if there is no such case."""
     pairs = rows.select(case, condition).distinct()
-    every = pairs.select(condition).distinct().count()
-    fine = pairs.groupBy(case).count().filter(F.col("count") == every).select(case)
-    return rows.join(fine, case, "left_semi")
+    every = pairs.agg(F.count_distinct(condition).alias("_every"))
+    counts = pairs.groupBy(case).agg(F.count("*").alias("_n")).crossJoin(F.broadcast(every))  # one row
+    some = counts.agg(F.coalesce(F.bool_or(F.col("_n") == F.col("_every")), F.lit(False)).alias("_any"))
+    fine = counts.crossJoin(F.broadcast(some)).filter("_n = _every or not _any")  # one row
+    return rows.join(fine.select(case), case, "left_semi")
+
+
+def excluded_cases(rows: DataFrame, case: str, condition: str) -> DataFrame:
+    """Cases that not every condition has."""
+    pairs = rows.select(case, condition).distinct()
+    every = pairs.agg(F.count_distinct(condition).alias("_every"))
+    return pairs.groupBy(case).agg(F.count("*").alias("_n")).crossJoin(F.broadcast(every)).filter("_n < _every").select(case)  # one row
 
 
 def replication_number(runs: DataFrame, condition: str, order: str) -> Column:
@@ -108,6 +118,37 @@ def repeated_measures(rows: DataFrame, subject: str, factor: str, response: str)
     return sums.select(f.alias("f"), df1.alias("df1"), df2.alias("df2"), "ss_factor", "ss_error")
 
 
+def sphericity(rows: DataFrame, subject: str, factor: str, response: str) -> DataFrame:
+    """One row (epsilon) of Greenhouse and Geisser: how far the covariances of the levels are from equal ones.
+
+    The covariance of two levels is a sum over the subjects that have both, so only a matrix as wide as the
+    factor has levels is ever held, by the one task that sums it up.
+    """
+    cells = rows.filter(F.col(response).isNotNull()).groupBy(subject, factor).agg(F.avg(response).alias("y"))
+    full = common_cases(cells, subject, factor)
+    means = full.groupBy(factor).agg(F.avg("y").alias("m"))
+    centred = full.join(means, factor).select(subject, F.col(factor).cast("string").alias("f"), (F.col("y") - F.col("m")).alias("e"))
+    # each subject has as many rows as the factor has levels
+    vectors = centred.groupBy(subject).agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("v"))
+    pairs = vectors.select(F.explode("v").alias("a"), "v").select("a", F.explode("v").alias("b"))
+    cov = pairs.groupBy(F.col("a.f").alias("f"), F.col("b.f").alias("g")).agg(F.sum(F.col("a.e") * F.col("b.e")).alias("c"))
+    by_row = cov.groupBy("f").agg(F.avg("c").alias("row"), F.sum(F.when(F.col("f") == F.col("g"), F.col("c"))).alias("diagonal"), F.sum(F.col("c") ** 2).alias("squares"))
+    k = F.count("*")
+    every, diagonal, squares, rows2 = F.avg("row"), F.avg("diagonal"), F.sum("squares"), F.sum(F.col("row") ** 2)
+    value = (k * (diagonal - every)) ** 2 / ((k - 1) * (squares - 2 * k * rows2 + k * k * every**2))
+    return by_row.agg(F.when(k >= 2, F.least(F.lit(1.0), F.greatest(value, 1.0 / (k - 1)))).alias("epsilon"))
+
+
+def repeated_measures_p(rows: DataFrame, subject: str, factor: str, response: str, alpha: float = 0.05) -> DataFrame:
+    """One row (f, df1, df2, p_uncorrected, epsilon, p_value, significant): p_value is corrected for sphericity.
+
+    All are null where f is.
+    """
+    out = repeated_measures(rows, subject, factor, response).crossJoin(F.broadcast(sphericity(rows, subject, factor, response)))  # one row each
+    out = out.withColumn("p_uncorrected", f_probability("f", "df1", "df2")).withColumn("p_value", f_probability("f", F.col("df1") * F.col("epsilon"), F.col("df2") * F.col("epsilon")))
+    return out.select("f", "df1", "df2", "p_uncorrected", "epsilon", "p_value", F.coalesce(F.col("p_value") < alpha, F.lit(False)).alias("significant"))
+
+
 def one_way(rows: DataFrame, factor: str, response: str) -> DataFrame:
     """One row (f, df1, df2) of the one-way analysis of independent groups, from the moments of each level."""
     groups = rows.filter(F.col(response).isNotNull()).groupBy(factor).agg(F.count("*").alias("n"), F.avg(response).alias("m"), F.var_pop(response).alias("v"))
@@ -153,7 +194,7 @@ def _reml(y: np.ndarray, x: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray,
 def mixed_effects(rows: DataFrame, subject: str, factors: list[str], response: str) -> DataFrame:
     """Rows (factor, p_value): the least Wald p of a factor's main contrasts in a random-intercept REML model.
 
-    The fit runs over the cell means of conditions and cases, whose number the design bounds; interactions
+    The fit runs over the cell means of conditions and cases, whose number the design bounds; all interactions
     enter the model but not the p of a factor.
     """
     cells = rows.filter(F.col(response).isNotNull()).groupBy(subject, *factors).agg(F.avg(response).alias("y"))
@@ -169,11 +210,11 @@ def mixed_effects(rows: DataFrame, subject: str, factors: list[str], response: s
             parts[f] = [(data[f].astype(str) == level).to_numpy(float) for level in levels]
             columns += parts[f]
             owner += [f] * len(levels)
-        for k, f in enumerate(factors):
-            for g in factors[k + 1 :]:
-                both = [a * b for a in parts[f] for b in parts[g]]
-                columns += both
-                owner += [""] * len(both)
+        for size in range(2, len(factors) + 1):
+            for chosen in itertools.combinations(factors, size):
+                for product in itertools.product(*[parts[f] for f in chosen]):
+                    columns.append(np.prod(product, axis=0))
+                    owner.append("")
         beta, error = _reml(data["y"].to_numpy(float), np.column_stack(columns), data[subject].astype(str).to_numpy())
         p = [normal_tail(b / e) if e > 0 else float("nan") for b, e in zip(beta, error)]
         out = [(f, np.nanmin([q for q, o in zip(p, owner) if o == f] or [np.nan])) for f in factors]

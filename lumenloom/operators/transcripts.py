@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenloom.functions.scalars import RESULT_CAP, truncate
+from lumenloom.functions.scalars import RESULT_CAP, is_real_model, truncate
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -21,8 +21,10 @@ def text(path: str, value: Column | None = None) -> Column:
 def flat_events(lines: DataFrame, cap: int = RESULT_CAP) -> DataFrame:
     """One row for each event (line_id, event_no, type, ...) of both producers.
 
-    An assistant line is one event, a user line one for each tool result, an item line one or two. Joined text
-    parts, thinking by line, tools as an array; results are cut at cap code points with `truncated` set.
+    An assistant line is one event, a user line one for each tool result, an item line one (a message, or
+    thoughts), two (a call and its result) or none (unknown items). Joined text parts, thinking by line, tools
+    as an array; results are cut at cap code points with `truncated` set. Turns that a producer only marks as
+    completed are folded by turn_results.
     """
     rows = parsed(lines)
     kind = text("$.type")
@@ -59,15 +61,49 @@ def flat_events(lines: DataFrame, cap: int = RESULT_CAP) -> DataFrame:
     done = event(type=F.lit("result"), cost_usd=F.try_variant_get("v", "$.total_cost_usd", "double"), num_turns=F.try_variant_get("v", "$.num_turns", "bigint"))
     system = event(type=F.lit("system"), subtype=text("$.subtype"), model=F.when(text("$.subtype") == "init", text("$.model")))
     item = text("$.item.type")
-    call = event(
-        type=F.lit("assistant"),
-        tools=F.array(F.struct(F.when(item == "command_execution", "Bash").otherwise(F.coalesce(text("$.item.tool"), item)), text("$.item.id"), F.to_json(F.struct(text("$.item.command").alias("command"))))),
+    member = lambda k: text(f"$.item.{k}")
+    raw = lambda k: F.try_variant_get("v", f"$.item.{k}", "variant")
+    filled = lambda *ks: F.coalesce(*[F.nullif(member(k), F.lit("")) for k in ks])
+    is_a = lambda k, shape: F.coalesce(F.schema_of_variant(raw(k)).startswith(shape), F.lit(False))
+    truthy = lambda k: raw(k).isNotNull() & ~F.coalesce(F.to_json(raw(k)), F.lit("null")).isin("null", '""', "false", "0", "{}", "[]")
+    as_text = lambda k: F.when(truthy(k), F.coalesce(F.when(is_a(k, "STRING"), member(k)), F.to_json(raw(k))))
+    status_failed = F.coalesce(member("status") == "failed", F.lit(False))
+    exit_code = F.when(is_a("exit_code", "BIGINT"), F.try_variant_get("v", "$.item.exit_code", "bigint"))
+    by_item = lambda *cases: F.coalesce(*[F.when(item == n, v) for n, v in cases])
+    tool = by_item(
+        ("command_execution", F.lit("Bash")),
+        ("mcp_tool_call", F.concat(F.lit("mcp__"), F.coalesce(filled("server", "server_name"), F.lit("mcp")), F.lit("__"), F.coalesce(filled("tool", "name"), F.lit("tool")))),
+        ("collab_tool_call", F.coalesce(filled("tool"), F.lit("collaboration"))),
+        ("web_search", F.lit("WebSearch")),
+        ("file_change", F.lit("Edit")),
+    )
+    given = by_item(
+        ("command_execution", F.to_json(F.struct(F.coalesce(member("command"), F.lit("")).alias("command")))),
+        ("mcp_tool_call", F.when(is_a("arguments", "OBJECT"), F.to_json(raw("arguments"))).otherwise(F.concat(F.lit('{"arguments":'), F.coalesce(F.to_json(raw("arguments")), F.lit("{}")), F.lit("}")))),
+        ("collab_tool_call", F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), F.to_json(raw(k))) for k in ("prompt", "receiver_thread_ids")]), F.lit("}"))),
+        ("web_search", F.to_json(F.struct(F.coalesce(member("query"), F.lit("")).alias("query")))),
+        ("file_change", F.concat(
+            F.lit('{"changes":'), F.coalesce(F.to_json(raw("changes")), F.lit("[]")),
+            F.coalesce(F.concat(F.lit(',"file_path":'), F.to_json(F.try_variant_get("v", "$.item.changes[0].path", "variant"))), F.lit("")), F.lit("}"),
+        )),
+    )
+    output = by_item(
+        ("command_execution", F.coalesce(F.when(is_a("aggregated_output", "STRING"), member("aggregated_output")), F.to_json(raw("aggregated_output")), F.lit(""))),
+        ("mcp_tool_call", F.coalesce(as_text("result"), as_text("error"), F.lit(""))),
+        ("collab_tool_call", F.coalesce(as_text("message"), as_text("status"), F.lit(""))),
+        ("web_search", F.coalesce(as_text("result"), F.lit(""))),
+        ("file_change", F.coalesce(as_text("status"), F.lit(""))),
     )
-    back = event(
-        type=F.lit("tool_result"), tool_use_id=text("$.item.id"), content=F.coalesce(text("$.item.aggregated_output"), text("$.item.result"), F.lit("")),
-        is_error=F.coalesce(F.try_variant_get("v", "$.item.exit_code", "bigint") != 0, F.lit(False)),
+    failed = by_item(
+        ("command_execution", F.coalesce(exit_code != 0, F.lit(False))), ("mcp_tool_call", truthy("error")),
+        ("collab_tool_call", status_failed), ("web_search", F.lit(False)), ("file_change", status_failed),
     )
-    items = F.when(item.isin("agent_message", "reasoning"), F.array(event(type=F.lit("assistant"), text=text("$.item.text")))).otherwise(F.array(call, back))
+    number = F.coalesce(member("id"), F.lit(""))
+    call = event(type=F.lit("assistant"), text=F.lit(""), tools=F.array(F.struct(tool, number, given)))
+    back = event(type=F.lit("tool_result"), tool_use_id=number, content=output, is_error=failed)
+    said = event(type=F.lit("assistant"), text=F.when(is_a("text", "STRING"), member("text")).otherwise(""))
+    thought = event(type=F.lit("assistant"), text=F.lit(""), thinking=F.coalesce(F.when(is_a("text", "STRING"), member("text")), F.when(is_a("summary", "STRING"), member("summary")), F.lit("")))
+    items = F.when(item == "agent_message", F.array(said)).when(item == "reasoning", F.array(thought)).when(tool.isNotNull(), F.array(call, back))
     events = (
         F.when(kind == "assistant", F.array(assistant))
         .when(kind == "user", results)
@@ -76,7 +112,7 @@ def flat_events(lines: DataFrame, cap: int = RESULT_CAP) -> DataFrame:
         .when(kind == "item.completed", items)
     )
     keep = [c for c in ("line_id", "run_id", "case_id", "file_name", "line_no") if c in lines.columns]
-    out = rows.select(*keep, F.when(kind != "result", text("$.timestamp")).alias("timestamp"), text("$.message.id").alias("_msg_id"), text("$.parent_tool_use_id").alias("parent_tool_use_id"), F.posexplode(events).alias("event_no", "e"))
+    out = rows.select(*keep, F.when(kind != "result", text("$.timestamp")).alias("timestamp"), F.coalesce(text("$.message.id"), F.when((kind == "item.completed") & (item == "agent_message"), F.nullif(member("id"), F.lit("")))).alias("_msg_id"), text("$.parent_tool_use_id").alias("parent_tool_use_id"), F.posexplode(events).alias("event_no", "e"))
     return out.select(*keep, "event_no", "timestamp", "_msg_id", "parent_tool_use_id", "e.*").withColumns(
         {
             "truncated": F.coalesce(F.length("content") > cap, F.lit(False)),
@@ -135,33 +171,133 @@ def merge_subagents(main: DataFrame, extra: DataFrame, scope: list[str], order:
     ).drop("_source")
 
 
-def usage(lines: DataFrame, scope: list[str]) -> DataFrame:
-    """Tokens, turns, models and last cost of the assistant and result lines of a scope."""
+def turn_results(lines: DataFrame, scope: list[str], order: str = "line_id") -> DataFrame:
+    """One result event (scope, line_id, num_turns, timestamp) for each scope with lines of completed turns, at the last of them."""
+    done = parsed(lines).filter(text("$.type").isin("turn.completed", "turn_completed"))
+    return done.groupBy(*scope).agg(
+        F.max(order).alias(order), F.lit("result").alias("type"), F.lit(None).cast("double").alias("cost_usd"), F.count("*").alias("num_turns"),
+        F.max_by(F.struct(text("$.timestamp").alias("t")), F.col(order))["t"].alias("timestamp"),
+    )
+
+
+def turn_usage(lines: DataFrame, scope: list[str]) -> DataFrame:
+    """Tokens and turns of completed turns: what came from the cache is no fresh input."""
+    done = parsed(lines).filter(text("$.type").isin("turn.completed", "turn_completed"))
+    count = lambda n: F.greatest(F.coalesce(F.try_variant_get("v", f"$.usage.{n}", "bigint"), F.lit(0)), F.lit(0))
+    given, cached = count("input_tokens"), count("cached_input_tokens")
+    return done.groupBy(*scope).agg(
+        F.sum(F.greatest(given - cached, F.lit(0))).alias("input"), F.sum(count("output_tokens")).alias("output"), F.sum(cached).alias("cache_read"), F.count("*").alias("num_turns")
+    )
+
+
+_MODEL_STATS = "map<string,struct<inputTokens:bigint,outputTokens:bigint,cacheReadInputTokens:bigint,cacheCreationInputTokens:bigint,costUSD:double>>"
+
+
+def usage(lines: DataFrame, scope: list[str], order: str = "line_id") -> DataFrame:
+    """Tokens, turns, models, cost and usage by model of the assistant and result lines of a scope.
+
+    Tokens are those of the last result line with usage by model, which counts sub-agents too; without one the
+    sums over assistant lines, null if they are nil. The cost is that of the last result line that names one,
+    even as null. Turns are distinct message ids; stand-in models are no models.
+    """
     rows = parsed(lines)
     tokens = lambda n: F.coalesce(F.try_variant_get("v", f"$.message.usage.{n}", "bigint"), F.lit(0))
-    assistant = text("$.type") == "assistant"
-    model = text("$.message.model")
-    return rows.groupBy(*scope).agg(
-        *[F.sum(F.when(assistant, tokens(n)).otherwise(0)).alias(n) for n in ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")],
-        F.nullif(F.countDistinct(F.when(assistant, text("$.message.id"))), F.lit(0)).alias("num_turns"),
-        F.array_sort(F.collect_set(F.when(assistant & ~model.startswith("<"), model))).alias("models"),
-        F.max_by(F.when(text("$.type") == "result", F.try_variant_get("v", "$.total_cost_usd", "double")), F.when(text("$.type") == "result", F.col("line_id"))).alias("cost_usd"),
+    kind, model, number = text("$.type"), text("$.message.model"), F.nullif(text("$.message.id"), F.lit(""))
+    assistant, result = kind == "assistant", kind == "result"
+    real = F.coalesce(is_real_model(F.nullif(model, F.lit(""))), F.lit(False))
+    costs = F.try_variant_get("v", "$.total_cost_usd", "variant")
+    stats = F.try_variant_get("v", "$.modelUsage", "variant")
+    last = lambda value, there: F.max_by(F.when(there, value), F.when(there, F.col(order)))
+    has_stats = result & F.coalesce(F.schema_of_variant(stats).startswith("OBJECT"), F.lit(False))
+    names = ["input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens"]
+    grouped = rows.groupBy(*scope).agg(
+        *[F.sum(F.when(assistant, tokens(n)).otherwise(0)).alias(f"_{n}") for n in names],
+        F.nullif(F.count_distinct(F.when(assistant, number)), F.lit(0)).alias("num_turns"),
+        F.array_sort(F.collect_set(F.when(assistant & real, model))).alias("models"),
+        last(F.struct(F.try_variant_get("v", "$.total_cost_usd", "double").alias("c")), result & costs.isNotNull())["c"].alias("cost_usd"),
+        last(F.try_variant_get("v", "$.modelUsage", _MODEL_STATS), has_stats).alias("_stats"),
+    )
+    by_model = F.when(F.size("_stats") > 0, F.col("_stats"))
+    total = lambda n: F.aggregate(F.map_values(by_model), F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x[n], F.lit(0)))
+    given = (F.col("_input_tokens") != 0) | (F.col("_output_tokens") != 0)
+    fields = ["inputTokens", "outputTokens", "cacheReadInputTokens", "cacheCreationInputTokens"]
+    return grouped.select(
+        *scope, *[F.coalesce(total(f), F.when(given, F.col(f"_{n}"))).alias(n) for n, f in zip(names, fields)], "num_turns", "models", "cost_usd", by_model.alias("by_model")
     )
 
 
-def run_metrics(runs: DataFrame, cost: str, turns: str, tokens_in: str, tokens_out: str, cache: str) -> DataFrame:
-    """Cost and output tokens per turn, cache hit rate, cost per million tokens; null where inputs are missing or nil."""
-    c = F.col
+def message_turns(lines: DataFrame, scope: list[str], by_model: bool = False) -> DataFrame:
+    """Distinct assistant messages (scope, [model,] _msg_id) of transcript lines, of streams and of sub-agents alike."""
+    role = (text("$.type") == "assistant") | (text("$.message.role") == "assistant")
+    rows = parsed(lines).filter(role).select(*scope, text("$.message.model").alias("model"), F.nullif(text("$.message.id"), F.lit("")).alias("_msg_id")).filter("_msg_id is not null")
+    return rows.filter(is_real_model(F.col("model"))).distinct() if by_model else rows.drop("model").distinct()
+
+
+def new_turns(stream: DataFrame, extra: DataFrame, scope: list[str]) -> DataFrame:
+    """For each scope, and model where both sides name it: turns of the stream, and those of sub-agents that it does not show."""
+    keys = [*scope, *(["model"] if "model" in stream.columns else [])]
+    fresh = extra.join(stream, [*keys, "_msg_id"], "left_anti")
+    both = stream.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)))
+    return both.groupBy(*keys).agg(F.count_if(F.col("_new") == 0).alias("stream_turns"), F.sum("_new").alias("subagent_turns"), F.count("*").alias("turns"))
+
+
+def run_metrics(runs: DataFrame, cost: str, turns: str, tokens_in: str, tokens_out: str, cache: str, created: str | None = None) -> DataFrame:
+    """Cost and output tokens per turn, cache hit rate, cost per million tokens; null where inputs are missing or nil.
+
+    What went into a run are fresh tokens, those read from the cache and those put into it.
+    """
+    c = lambda name: F.coalesce(F.col(name), F.lit(0)) if name else F.lit(0)
+    went_in = c(tokens_in) + c(cache) + c(created)
+    some = F.col(turns) > 0
     return runs.withColumns(
         {
-            "cost_per_turn": F.round(F.try_divide(c(cost), c(turns)), 6),
-            "output_per_turn": F.round(F.try_divide(c(tokens_out), c(turns)), 2),
-            "cache_hit_rate": F.round(F.try_divide(c(cache), c(tokens_in) + c(cache)), 6),
-            "cost_per_mtok": F.round(F.try_divide(c(cost) * 1e6, c(tokens_in) + c(tokens_out)), 4),
+            "cost_per_turn": F.when(some, F.round(F.try_divide(F.col(cost), F.col(turns)), 6)),
+            "output_per_turn": F.when(some & (c(tokens_out) != 0), F.round(F.try_divide(c(tokens_out), F.col(turns)), 2)),
+            "cache_hit_rate": F.when(went_in > 0, F.round(F.try_divide(c(cache), went_in), 6)),
+            "cost_per_mtok": F.when(went_in + c(tokens_out) > 0, F.round(F.try_divide(F.col(cost) * 1e6, went_in + c(tokens_out)), 4)),
         }
     )
 
 
+def matching_calls(events: DataFrame, patterns: list[str], keys: list[str]) -> DataFrame:
+    """Root-level tool calls whose name holds one of the patterns, each once."""
+    rows = events.filter("type = 'assistant' and coalesce(parent_tool_use_id, '') = ''").select(*keys, F.posexplode("tools").alias("tool_pos", "t"))
+    held = F.exists(F.array(*[F.lit(p) for p in patterns]).cast("array<string>"), lambda p: F.contains(F.col("t.name"), p))
+    return rows.filter(held).select(*keys, "tool_pos", F.col("t.name").alias("name"), F.col("t.input_json").alias("input_json"))
+
+
+#: Names that producers give to the tools of a kind, and to their arguments (fixed values).
+TOOL_KINDS = {
+    "read": ["read", "read_file", "readfile", "view", "cat", "open"],
+    "write": ["write", "write_file", "writefile", "create", "edit", "multiedit", "str_replace_editor", "update"],
+    "exec": ["bash", "shell", "run", "execute", "exec", "command"],
+    "skill": ["skill"],
+}
+ARGUMENTS = {"path": ["file_path", "path", "file", "filename"], "command": ["command", "cmd", "script"], "skill": ["skill", "name", "id"]}
+
+
+def evidence(events: DataFrame, scope: list[str], order: str) -> DataFrame:
+    """What can be verified of a scope: calls by tool, skills in order, commands, files read and written by name, turns and cost of the last result."""
+    member = lambda *ks: F.coalesce(*[F.nullif(F.try_variant_get(F.try_parse_json("t.input_json"), f"$.{k}", "string"), F.lit("")) for k in ks])
+    calls = events.filter("type = 'assistant'").select(*scope, order, F.posexplode("tools").alias("pos", "t")).filter("coalesce(t.name, '') != ''")
+    low = F.lower(F.col("t.name"))
+    path = F.element_at(F.split(member(*ARGUMENTS["path"]), "/"), -1)
+    of_kind = lambda kind, value: F.when(low.isin(TOOL_KINDS[kind]), value)
+    rows = calls.select(
+        *scope, order, "pos", F.col("t.name").alias("tool"), of_kind("skill", F.coalesce(member(*ARGUMENTS["skill"]), F.lit("?"))).alias("skill"),
+        of_kind("read", path).alias("read"), of_kind("write", path).alias("written"), of_kind("exec", member(*ARGUMENTS["command"])).alias("command"),
+    )
+    counts = rows.groupBy(*scope, "tool").agg(F.count("*").alias("n")).groupBy(*scope).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tool", "n")))).alias("tool_calls"))
+    used = rows.groupBy(*scope).agg(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("skill").isNotNull(), F.struct(order, "pos", "skill")))), lambda x: x["skill"]).alias("skills"),
+        F.array_sort(F.collect_set("read")).alias("files_read"), F.array_sort(F.collect_set("written")).alias("files_written"),
+        F.array_sort(F.collect_set("command")).alias("commands"),
+    )
+    done = events.filter("type = 'result'").groupBy(*scope).agg(F.max_by(F.struct(F.coalesce("num_turns", F.lit(0)).alias("turns"), F.coalesce("cost_usd", F.lit(0.0)).alias("cost")), order).alias("r"))
+    both = used.join(counts, scope, "left").join(done, scope, "full")
+    return both.select(*scope, F.coalesce("r.turns", F.lit(0)).alias("turns"), F.coalesce("r.cost", F.lit(0.0)).alias("cost_usd"), "tool_calls", "skills", "commands", "files_read", "files_written")
+
+
 def apportion(spans: DataFrame, costs: DataFrame, model: str, cost: str) -> DataFrame:
     """Spans with their share of the cost of their model: cost over the number of its spans."""
     counts = spans.groupBy(model).agg(F.count("*").alias("_n"))

@@ -37,9 +37,9 @@ per_case as (select cond, case_id, case when bool_and(gate) then avg(norm) else
 def _rewards(spark: SparkSession, d: str) -> DataFrame:
     rows = _lines(spark, d)
     results = _union(rows, ["cond", F.col("l_orderkey").alias("case_id"), "l_extendedprice"], [("gate", "bool", F.col("l_discount") <= 0.08), ("score", "num", F.col("l_quantity"))])
-    rewards = J.compose_reward(results, "cond", "case_id", low=1.0, high=50.0)
-    costs = rows.groupBy("cond", F.col("l_orderkey").alias("case_id")).agg(F.sum("l_extendedprice").alias("cost"))
-    return rewards.join(costs, ["cond", "case_id"])
+    costs = results.groupBy("cond", "case_id").agg(F.sum(F.when(F.col("judge") == "score", F.col("l_extendedprice"))).alias("cost"))
+    # both aggregates are over the same groups of the same rows, so the join reuses their exchange
+    return J.compose_reward(results, "cond", "case_id", low=1.0, high=50.0).join(costs, ["cond", "case_id"])
 
 
 @query(_CASES + """, summ as (select cond, avg(reward) as mean, coalesce(stddev_samp(reward), 0.0) as std, count(*) as n, avg(cost) as cost from per_case group by cond)
@@ -100,7 +100,7 @@ def judge_aggregate(spark: SparkSession, d: str) -> DataFrame:
   round(avg(l_quantity), 2) as mean, count(distinct l_quantity) = 1 as stable from lineitem group by 1""")
 def sample_reduce(spark: SparkSession, d: str) -> DataFrame:
     samples = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *J.tagged("num", F.col("l_quantity")))
-    return J.reduce_samples(samples, "l_orderkey", order="l_linenumber").drop("value_bool", "value_str")
+    return J.reduce_samples(samples, "l_orderkey", order="l_linenumber").select("l_orderkey", "samples", "value_num", "lowest", "highest", "mean", "stable")
 
 
 @query("""select l_orderkey, count(*) as samples, count(*) filter (l_discount <= 0.05) * 2 > count(*) as value_bool, count(distinct l_discount <= 0.05) = 1 as stable from lineitem group by 1""")
@@ -260,11 +260,11 @@ def usage_rollup(spark: SparkSession, d: str) -> DataFrame:
     return runs.agg(F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 2).alias("cost"), F.max("exit_code").alias("worst"), F.count("*").alias("cases"))
 
 
-@query("""select l_orderkey, round(cost / turns, 6) as cost_per_turn, round(tout / turns, 2) as output_per_turn, round(cache / nullif(tin + cache, 0), 6) as cache_hit_rate, round(cost * 1e6 / nullif(tin + tout, 0), 4) as cost_per_mtok
-  from (select l_orderkey, sum(l_tax) as cost, count(*) as turns, sum(l_extendedprice) as tin, sum(l_quantity) as tout, sum(l_discount) as cache from lineitem group by 1)""")
+@query("""select l_orderkey, round(cost / turns, 6) as cost_per_turn, round(tout / turns, 2) as output_per_turn, round(cache / nullif(tin + cache + made, 0), 6) as cache_hit_rate, round(cost * 1e6 / nullif(tin + cache + made + tout, 0), 4) as cost_per_mtok
+  from (select l_orderkey, sum(l_tax) as cost, count(*) as turns, sum(l_extendedprice) as tin, sum(l_quantity) as tout, sum(l_discount) as cache, sum(l_linenumber) as made from lineitem group by 1)""")
 def run_metrics(spark: SparkSession, d: str) -> DataFrame:
-    runs = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_tax").alias("cost"), F.count("*").alias("turns"), F.sum("l_extendedprice").alias("tin"), F.sum("l_quantity").alias("tout"), F.sum("l_discount").alias("cache"))
-    return E.run_metrics(runs, "cost", "turns", "tin", "tout", "cache").select("l_orderkey", "cost_per_turn", "output_per_turn", "cache_hit_rate", "cost_per_mtok")
+    runs = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_tax").alias("cost"), F.count("*").alias("turns"), F.sum("l_extendedprice").alias("tin"), F.sum("l_quantity").alias("tout"), F.sum("l_discount").alias("cache"), F.sum("l_linenumber").alias("made"))
+    return E.run_metrics(runs, "cost", "turns", "tin", "tout", "cache", "made").select("l_orderkey", "cost_per_turn", "output_per_turn", "cache_hit_rate", "cost_per_mtok")
 
 
 @query("""with c as (select l_suppkey as model, sum(l_extendedprice) as cost from lineitem group by 1)
@@ -282,11 +282,6 @@ def billed_cost(spark: SparkSession, d: str) -> DataFrame:
     return both.select("c_custkey", S.billed_cost(F.nullif("c_acctbal", F.lit(0.0)), F.col("m")).alias("billed"))
 
 
-@query("select * from part where not exists (select 1 from lineitem where l_partkey = p_partkey)")
-def orphans(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").join(table(spark, d, "lineitem"), F.col("p_partkey") == F.col("l_partkey"), "left_anti")
-
-
 @query("""with b as (select s_suppkey, (s_suppkey % 7) as size, coalesce(sum(s_suppkey % 7) over (order by s_suppkey rows between unbounded preceding and 1 preceding), 0) as st from supplier)
 select p_partkey, s_suppkey from part join b on p_partkey >= st and p_partkey < st + size""")
 def routing(spark: SparkSession, d: str) -> DataFrame:

@@ -29,33 +29,22 @@ select type, count(*) as n from (
   select 'assistant' as type from a where t = 'assistant' union all
   select 'tool_result' from b where j ->> '$.type' = 'user' and b ->> '$.type' = 'tool_result' union all
   select t from a where t in ('result', 'system') union all
-  select 'assistant' from a where t = 'item.completed' union all
-  select 'tool_result' from o where j ->> '$.type' = 'item.completed' and coalesce(j ->> '$.item.type', '') not in ('agent_message', 'reasoning')) group by 1""")
+  select 'assistant' from o where j ->> '$.type' = 'item.completed' and j ->> '$.item.type' in ('agent_message', 'reasoning', 'command_execution', 'mcp_tool_call', 'collab_tool_call', 'web_search', 'file_change') union all
+  select 'tool_result' from o where j ->> '$.type' = 'item.completed' and j ->> '$.item.type' in ('command_execution', 'mcp_tool_call', 'collab_tool_call', 'web_search', 'file_change')) group by 1""")
 def events_by_type(spark: SparkSession, d: str) -> DataFrame:
     """Flat events of both producers by type."""
     return E.flat_events(_lines(spark, d)).groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query(_J + """select line_id, b ->> '$.id' as id, b ->> '$.name' as name, row_number() over (partition by line_id order by pos) as step
-from b where j ->> '$.type' = 'assistant' and b ->> '$.type' = 'tool_use'""")
+from b where j ->> '$.type' = 'assistant' and b ->> '$.type' = 'tool_use' union all
+select line_id, coalesce(j ->> '$.item.id', ''), 'Bash', 1 from o where j ->> '$.type' = 'item.completed' and j ->> '$.item.type' = 'command_execution'""")
 def tool_trace(spark: SparkSession, d: str) -> DataFrame:
-    """Tool calls of the assistant lines with their step."""
-    events = E.flat_events(_lines(spark, d)).filter("type = 'assistant' and tools is not null and _msg_id is not null")
+    """Tool calls of both producers with their step within the line."""
+    events = E.flat_events(_lines(spark, d)).filter("type = 'assistant' and tools is not null")
     return E.tool_trace(events, ["line_id"], ["event_no"]).select("line_id", "id", "name", "step")
 
 
-@query(_J + """, u as (select o.run_id, o.line_id, e from o where j ->> '$.type' = 'assistant'), x as (select run_id, line_id, j from o where j ->> '$.type' = 'assistant'),
-r as (select run_id, line_id, try_cast(j ->> '$.total_cost_usd' as double) as cost from o where j ->> '$.type' = 'result')
-select x.run_id, sum(coalesce(try_cast(j ->> '$.message.usage.input_tokens' as bigint), 0))::bigint as input_tokens, sum(coalesce(try_cast(j ->> '$.message.usage.output_tokens' as bigint), 0))::bigint as output_tokens,
-  nullif(count(distinct j ->> '$.message.id'), 0) as num_turns from x group by 1""".replace(", u as (select o.run_id, o.line_id, e from o where j ->> '$.type' = 'assistant'), x as", ", x as"))
-def usage_totals(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens and turns of the runs that have assistant lines."""
-    lines = _lines(spark, d).filter("run_id is not null")
-    out = E.usage(lines, ["run_id"]).select("run_id", "input_tokens", "output_tokens", "num_turns")
-    rows = E.parsed(lines).filter(E.text("$.type") == "assistant").select("run_id").distinct()
-    return out.join(rows, "run_id", "left_semi")
-
-
 @query("""with u as (select run_id, session_id, event_id, unnest(tools) as t from flat_events),
 r as (select event_id, session_id, tool_use_id from flat_events where type = 'tool_result' and session_id is not null and tool_use_id is not null)
 select r.event_id, r.tool_use_id, coalesce((select arg_max(u.t.name, u.event_id) from u where u.session_id = r.session_id and u.t.id = r.tool_use_id and u.event_id < r.event_id and u.t.name is not null), '') as tool_name from r""")

@@ -76,13 +76,6 @@ def embedded_json(spark: SparkSession, d: str) -> DataFrame:
     return rows.filter("document is not null")
 
 
-@query("""select doc_id, coalesce(try_cast(nullif(regexp_extract(text, '(?i)"?score"?\\s*[:=]\\s*"?(-?\\d+(?:\\.\\d+)?)', 1), '') as double), try_cast(nullif(regexp_extract(text, '(-?\\d+(?:\\.\\d+)?)\\s*/\\s*\\d+', 1), '') as double)) as score
-from documents where text is not null and (regexp_matches(text, '(?i)"?score"?\\s*[:=]\\s*"?-?\\d') or regexp_matches(text, '\\d\\s*/\\s*\\d'))""")
-def score_parse(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").filter(F.col("text").rlike(r'(?i)"?score"?\s*[:=]\s*"?-?\d') | F.col("text").rlike(r"\d\s*/\s*\d"))
-    return rows.select("doc_id", S.parse_score(F.col("text"), 1, 5).alias("score"))
-
-
 @query("""select l_orderkey, to_json(map(['discount', 'reward', 'tax'], [round(avg(l_discount), 6), round(avg(l_quantity) / 50, 6), round(avg(l_tax), 6)])) as document from lineitem group by 1""")
 def reward_documents(spark: SparkSession, d: str) -> DataFrame:
     """Reward and metrics of each case as a JSON document, read back as an ordered map for comparison."""

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenloom.functions import formula, shell
+from lumenloom.functions import verdicts as V
 from lumenloom.functions import scalars as S
 from lumenloom.operators import judging as J
 from lumenloom.operators import statistics as A
@@ -115,16 +116,20 @@ def test_design(spark):
 
 
 def test_shell():
-    assert shell.read_paths("cat a.txt 'b c.md' | head -5 > out 2>&1 && sed -n '1,5p' src/x.py; echo no.txt") == ["a.txt", "b c.md", "src/x.py"]
+    simple = {
+        "cat a.txt 'b c.md' > out 2>&1": ["a.txt", "b c.md"], "sed -n '1,5p' src/x.py": ["src/x.py"], "sed -e p -f prog.sed y.txt": ["prog.sed", "y.txt"], "/usr/bin/head -n 5 f.md": ["f.md"],
+        "tail -c 10 --quiet g.md": ["g.md"], "bash -lc 'cat inner.md'": ["inner.md"], "sh script.sh": [], "cat a.md|head": [], "cat a.md && ls": [], "cat $(ls)": [], "grep x f.md": [], "cat 2>/dev/null a.md": ["a.md"],
+    }
+    assert {c: shell.read_paths(c) for c in simple} == simple
     assert shell.scripts("python -u tools/run.py --x && ./bin/go.sh; ls") == ["tools/run.py", "./bin/go.sh"]
     assert shell.read_paths("cat 'broken") == []
 
 
 def test_scalars(spark):
     row = spark.createDataFrame([("Ünï code!", 'x {"score": 4.5}', "a/b/c.md", None, "2026-03-01T10:00:00.5+02:00")], "a string, b string, c string, d string, e string").select(
-        S.slug(F.col("a")).alias("slug"), S.parse_score(F.col("b"), 1, 5).alias("score"), S.suffix_match(F.col("c"), F.lit("b/c.md")).alias("suffix"),
+        S.slug(F.col("a")).alias("slug"), V.score(F.col("b"), 1, 5, False).alias("score"), S.suffix_match(F.col("c"), F.lit("b/c.md")).alias("suffix"),
         S.truncate(F.lit("abcdef"), 3).alias("cut"), S.normalise(F.lit(None).cast("double"), 1.0, 5.0).alias("none"), S.tool_failed(F.col("d")).alias("failed"),
-        S.iso_nanos(F.col("e")).alias("nanos"), S.parse_verdict(F.lit('passed: "yes"')).alias("verdict"), S.count_words(F.lit("  a b\n c ")).alias("words"), S.number_text(F.lit(2.0)).alias("two"),
+        S.iso_nanos(F.col("e")).alias("nanos"), V.flag_verdict(F.lit('{"passed": TRUE}')).alias("verdict"), S.count_words(F.lit("  a b\n c ")).alias("words"), S.number_text(F.lit(2.0)).alias("two"),
     ).first()
     assert (row["score"], row["suffix"], row["cut"], row["none"], row["failed"], row["verdict"], row["words"], row["two"]) == (4.5, True, "abc[truncated]", None, False, True, 3, "2")
     assert row["nanos"] == 1772352000500000000 and row["slug"] == "n-code"

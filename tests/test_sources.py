@@ -29,7 +29,7 @@ def test_flat_events(spark):
     got = [(r["line_id"], r["event_no"], r["type"], r["text"], r["content"], r["is_error"], r["truncated"]) for r in E.flat_events(lines(spark), cap=20).orderBy("line_id", "event_no").collect()]
     assert got == [
         (0, 0, "system", None, None, None, False), (1, 0, "assistant", "ab", None, None, False), (2, 0, "tool_result", None, "xy", False, False),
-        (2, 1, "tool_result", None, "z" * 20 + "[truncated]", True, True), (3, 0, "assistant", None, None, None, False), (3, 1, "tool_result", None, "out", True, False),
+        (2, 1, "tool_result", None, "z" * 20 + "[truncated]", True, True), (3, 0, "assistant", "", None, None, False), (3, 1, "tool_result", None, "out", True, False),
         (4, 0, "assistant", "hello", None, None, False), (5, 0, "result", None, None, None, False),
     ]
     assert E.flat_events(lines(spark).limit(0)).count() == 0
