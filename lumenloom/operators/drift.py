@@ -17,9 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenloom.session import stage
+
 #: Members whose name is the name of a model: lower case, in parts joined by hyphens. Field names have none.
 MODEL_NAME = re.compile(r"[a-z0-9.]+(?:-[a-z0-9.]+)+")
 _FILE = ["producer", "kind", "file_id"]
+#: A file's records meet what is asked of it in as many places.
+_SLICES = 16
 
 
 def tag(value: object) -> str:
@@ -198,11 +202,11 @@ def changes(records: DataFrame) -> DataFrame:
     """Rows (producer, kind, file_id, change_kind, old_field, new_field), file_id being the later file.
 
     A pair of paths is renamed if the values agree in every record_key of both files and one of them is not
-    null; the check joins records by file and key, so it spreads however many records a file has. Where
+    null; the check joins records by file and a slice of the key, so it spreads however many records a file has. Where
     several pairs agree, the alphabetically first are taken. Of rows of one key in one file the one with the
     smallest record_id counts. Bodies that are no JSON objects have no fields; files without fields count.
     """
-    files = file_schemas(records)
+    files = stage(file_schemas(records), "schemas")
     order = previous_file(files).filter("before is not null")
     after = order.join(files.select("file_id", "s"), "file_id")
     both = after.join(files.select(F.col("file_id").alias("before"), F.col("s").alias("t")), "before")
@@ -211,7 +215,7 @@ def changes(records: DataFrame) -> DataFrame:
         "producer string, kind string, file_id long, before long, removed array<string>, added array<string>,"
         " retyped array<string>, pairs array<struct<old:string,new:string>>",
     )
-    seen = seen.filter("size(removed) + size(added) + size(retyped) > 0")
+    seen = stage(seen.filter("size(removed) + size(added) + size(retyped) > 0"), "compared")
     asked = seen.filter("size(pairs) > 0").select(F.col("file_id").alias("change"), "before", "pairs")
     sides = asked.select(
         "change",
@@ -221,17 +225,20 @@ def changes(records: DataFrame) -> DataFrame:
                 F.struct(F.col("change").alias("file_id"), F.lit("new").alias("side"), F.array_distinct("pairs.new").alias("paths")),
             )
         ).alias("x"),
-    ).select("change", "x.*")
+    ).select("change", "x.*", F.explode(F.sequence(F.lit(0), F.lit(_SLICES - 1))).alias("slice"))
     values = (
         records.select(F.col("file_id").cast("long"), "record_key", F.col("record_id").cast("long"), "body").filter("record_key is not null")
-        .join(sides, "file_id").select("change", "record_key", "record_id", "side", "paths", "body")
+        .withColumn("slice", F.pmod(F.xxhash64("record_key"), F.lit(_SLICES)).cast("int"))
+        .join(sides, ["file_id", "slice"]).select("change", "record_key", "record_id", "side", "paths", "body")
         .mapInPandas(_sides, "change long, record_key string, record_id long, side string, fields array<struct<path:string,value:string>>")
     )
     met = values.groupBy("change", "record_key").agg(
         *[F.min_by(F.when(F.col("side") == s, F.col("fields")), F.when(F.col("side") == s, F.col("record_id"))).alias(s) for s in ("old", "new")]
     ).filter("old is not null and new is not null")
+    met = met.withColumn("slice", F.pmod(F.xxhash64("record_key"), F.lit(_SLICES)).cast("int"))
+    wanted = asked.select("change", "pairs", F.explode(F.sequence(F.lit(0), F.lit(_SLICES - 1))).alias("slice")).select("change", "slice", F.explode("pairs").alias("pair"))
     judged = (
-        met.join(asked.select("change", F.explode("pairs").alias("pair")), "change")
+        met.join(wanted, ["change", "slice"])
         .select(
             "change",
             "pair",
@@ -281,24 +288,88 @@ def members(body: object) -> Iterator[tuple[str, str, object]]:
             todo += [(below, path + "[]", f"{place}[{k}]") for k, below in enumerate(value)]
 
 
+def final_names(changed: DataFrame, files: DataFrame) -> DataFrame:
+    """(file_id, names map<path, path>): what the fields of a file are called in the last file of its producer and kind.
+
+    changed: the rows of changes(). A rename counts for the files before it; chains of renames are followed, one
+    join for each link. Only files with a field that was renamed later have a row.
+    """
+    place = F.struct(F.coalesce("written_at", F.lit("1970-01-01").cast("timestamp")).alias("at"), "file_id")
+    order = files.select(*_FILE, place.alias("place"))
+    renames = changed.filter("change_kind = 'renamed'").select("producer", "kind", "file_id", F.col("old_field").alias("old"), F.col("new_field").alias("new"))
+    events = stage(renames.join(order.select("file_id", "place"), "file_id").drop("file_id"), "renames")
+    following = events.select("producer", "kind", F.col("old").alias("last"), F.col("new").alias("_new"), F.col("place").alias("_place"))
+    state = events.select("producer", "kind", "old", "place", F.col("new").alias("last"), F.col("place").alias("since"))
+    keys = ["producer", "kind", "old", "place"]
+    while not events.isEmpty():
+        later = state.join(following, ["producer", "kind", "last"]).filter("_place > since").groupBy(*keys).agg(F.min_by(F.struct("_new", "_place"), F.col("_place")).alias("_n"))
+        state = stage(state.join(later, keys, "left").select(*keys, F.coalesce("_n._new", "last").alias("last"), F.coalesce("_n._place", "since").alias("since"), F.col("_n").isNotNull().alias("moved")), "renames")
+        if state.filter("moved").isEmpty():
+            break
+        state = state.drop("moved")
+    named = files.select("file_id", *["producer", "kind"], place.alias("_at"), F.explode("s.path").alias("old")).distinct()
+    met = named.join(state.select(*keys, "last"), ["producer", "kind", "old"]).filter("place > _at")
+    first = met.groupBy("file_id", "old").agg(F.min_by("last", "place").alias("last")).filter("old != last")
+    return first.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("old", "last"))).alias("names"))
+
+
+def renamed(path: str, names: dict[str, str]) -> str:
+    """A path under the last name of itself or of the nearest path around it that was renamed."""
+    at = path
+    while at:
+        if at in names:
+            return names[at] + path[len(at) :]
+        at = at[:-2] if at.endswith("[]") else at.rpartition(".")[0]
+    return path
+
+
 def _typed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["record_id", "field", "place", "tag", "as_string", "as_number", "as_boolean", "as_json", "canonical"]
+    columns = ["record_id", "field", "place", "final_field", "tag", "as_string", "as_number", "as_boolean", "as_json", "canonical"]
     for batch in batches:
         out = []
-        for record_id, body in batch.itertuples(index=False):
+        for record_id, body, names in batch.itertuples(index=False):
+            known = dict(names) if names is not None else {}
             for field, place, value in members(parse(body)):
-                out.append((record_id, field, place, tag(value), *_canonical(value)))
-        yield pd.DataFrame(out, columns=names).astype({"as_number": "float64"})
+                out.append((record_id, field, place, renamed(field, known) if known else field, tag(value), *_canonical(value)))
+        yield pd.DataFrame(out, columns=columns).astype({"as_number": "float64"})
 
 
 def unified(records: DataFrame) -> DataFrame:
     """One row for each non-null field of a record at any depth: its tag, a branch for each type, and one text form.
 
     A field is a path as in changes; place tells its occurrences in a record apart by array position and model
-    name. A field of conflicting types keeps every value: the branch of its own type is set, the others are null.
-    Objects and arrays have their own row beside those of their members; array elements that are neither have none.
+    name, final_field is its name in the last file of the producer and kind. A field of conflicting types keeps
+    every value: the branch of its own type is set, the others are null. Objects and arrays have their own row
+    beside those of their members; array elements that are neither have none.
     """
-    return records.select(F.col("record_id").cast("long"), "body").mapInPandas(
+    files = stage(file_schemas(records), "schemas")
+    names = final_names(changes(records), files)
+    rows = records.select(F.col("record_id").cast("long"), F.col("file_id").cast("long").alias("file_id"), "body").join(names, "file_id", "left")
+    return rows.select("record_id", "body", "names").mapInPandas(
         _typed,
-        "record_id long, field string, place string, tag string, as_string string, as_number double, as_boolean boolean, as_json string, canonical string",
+        "record_id long, field string, place string, final_field string, tag string, as_string string, as_number double, as_boolean boolean, as_json string, canonical string",
     )
+
+
+def rejects(records: DataFrame) -> DataFrame:
+    """Records (record_id, reason) that give no fields: missing, broken, too deep for the JSON reader, or no object."""
+    return records.select(F.col("record_id").cast("long").alias("row_id"), F.col("body").alias("text")).mapInPandas(_rejects, "row_id long, reason string").withColumnRenamed("row_id", "record_id")
+
+
+def reason_of(text: object) -> str | None:
+    """Why a text is no JSON object; None if it is one."""
+    if not isinstance(text, str):
+        return "missing"
+    try:
+        body = json.loads(text)
+    except RecursionError:
+        return "too deep"
+    except ValueError:
+        return "broken"
+    return None if isinstance(body, dict) else "no object"
+
+
+def _rejects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = [(row_id, why) for row_id, text in batch.itertuples(index=False) if (why := reason_of(text))]
+        yield pd.DataFrame(out, columns=["row_id", "reason"])

@@ -235,8 +235,9 @@ def _children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def transcript_children(lines: DataFrame) -> DataFrame:
     """Child rows (CHILD_SCHEMA) of lines (line_id, line): blocks of any depth, and usage counters.
 
-    Lines that are null, broken or no JSON object have no children. A line too deep for the JSON reader
-    counts as broken. One pass without a shuffle; a line is shredded where it is read.
+    Lines that are null, broken or no JSON object have no children; rejects() names each of them with its
+    reason, lines too deep for the JSON reader among them (paths of all blocks of a line of n nested ones are n
+    squared long). One pass without a shuffle; a line is shredded where it is read.
     """
     return lines.select("line_id", "line").mapInPandas(_children, CHILD_SCHEMA)
 
@@ -263,3 +264,11 @@ def _leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def transcript_leaves(lines: DataFrame) -> DataFrame:
     """Every leaf value of the lines that are JSON objects (LEAF_SCHEMA), linked to its repeated ancestor."""
     return lines.select("line_id", "line").mapInPandas(_leaves, LEAF_SCHEMA)
+
+
+def rejects(lines: DataFrame) -> DataFrame:
+    """Lines (line_id, reason) that give no children: missing, broken, too deep for the JSON reader, or no object."""
+    from lumenloom.operators.drift import _rejects
+
+    found = lines.selectExpr("cast(line_id as long) as row_id", "line as text").mapInPandas(_rejects, "row_id long, reason string")
+    return found.withColumnRenamed("row_id", "line_id")

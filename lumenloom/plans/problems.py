@@ -56,7 +56,19 @@ def p6_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.unified(table(spark, sf_dir, "artifact_records"))
 
 
+def p4_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcript lines without rows in p4_found, and why."""
+    return shred.rejects(table(spark, sf_dir, "transcript_lines"))
+
+
+def p6_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records without fields in p6_unified, and why."""
+    return drift.rejects(table(spark, sf_dir, "artifact_records"))
+
+
 QUERIES = {
+    "p4_rejects": p4_rejects,
+    "p6_rejects": p6_rejects,
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_leaves": p4_leaves,
@@ -93,6 +105,10 @@ loops as (select distinct src_table, tree_id, origin as node_id from walk where
 """
 
 ORACLES = {
+    "p4_rejects": r"""select line_id, case when line is null then 'missing' when not json_valid(line) then 'broken' else 'no object' end as reason
+from transcript_lines where line is null or not json_valid(line) or json_type(case when json_valid(line) then line end) <> 'OBJECT'""",
+    "p6_rejects": r"""select record_id, case when body is null then 'missing' when not json_valid(body) then 'broken' else 'no object' end as reason
+from artifact_records where body is null or not json_valid(body) or json_type(case when json_valid(body) then body end) <> 'OBJECT'""",
     "p2_found": f"""
 with d as (
   select 'flat_events' as src_table, event_id as row_id, lower(regexp_replace(_msg_id, {_TRIM})) as k, part_no, received_at from flat_events

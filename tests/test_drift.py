@@ -64,3 +64,20 @@ def test_unified_splits_nested_conflicts(spark):
     assert got[("m.*.cost.rev", "m.tiny-2.cost.rev")][2] == 2.0
     assert got[("list[].q", "list[0].q")][2] == 1.0 and got[("list[].q", "list[2].q")][1] == "x"
     assert {f for f, _ in got} == {p for p, _ in drift.alternatives(one)} and len(rows) == len(got)
+
+
+def test_renamed_fields_come_out_under_their_last_name(spark):
+    files = {
+        1: (0, [("a", {"x": 1, "o": {"p": "u"}}), ("b", {"x": 2, "o": {"p": "v"}})]), 2: (1, [("a", {"y": 1, "q": {"p": "u"}}), ("b", {"y": 2, "q": {"p": "v"}})]),
+        3: (2, [("a", {"z": 1, "q": {"p": "u"}}), ("b", {"z": 2, "q": {"p": "v"}})]), 4: (3, [("a", {"z": 1, "x": 9, "q": {"p": "u"}})]),
+    }
+    rows = drift.unified(records(spark, files)).collect()
+    assert {(r["field"], r["final_field"]) for r in rows} == {("x", "z"), ("y", "z"), ("z", "z"), ("x", "x"), ("o", "q"), ("o.p", "q.p"), ("q", "q"), ("q.p", "q.p")}
+    assert drift.renamed("a[].b.c", {"a[].b": "a[].d"}) == "a[].d.c" and drift.renamed("ab.c", {"a": "z"}) == "ab.c"
+
+
+def test_rejects_name_their_reason(spark):
+    deep = '{"a":' * 200_000 + "1" + "}" * 200_000
+    rows = [(1, None), (2, "{"), (3, "[1]"), (4, deep), (5, "{}")]
+    got = {r["record_id"]: r["reason"] for r in drift.rejects(spark.createDataFrame(rows, "record_id long, body string")).collect()}
+    assert got == {1: "missing", 2: "broken", 3: "no object", 4: "too deep"}
