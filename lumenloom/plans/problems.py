@@ -104,7 +104,32 @@ walk as (
 loops as (select distinct src_table, tree_id, origin as node_id from walk where origin = head)
 """
 
+#: Content as a list: an array's elements, a string or an object alone; and the type of a block.
+_LIST = "case json_type({0}) when 'ARRAY' then json_extract({0}, '$[*]') when 'VARCHAR' then [{0}] when 'OBJECT' then [{0}] end"
+_CHILDREN = rf"""
+with recursive o as (select * from (select line_id, case when json_valid(line) then line::json end as j from transcript_lines) where json_type(j) = 'OBJECT'),
+m as (select line_id, j, case json_type(j, '$.message') when 'OBJECT' then j -> '$.message'
+        when 'VARCHAR' then case when json_valid(j ->> '$.message') then case when json_type(j ->> '$.message') = 'OBJECT' then (j ->> '$.message')::json end end end as m from o),
+blocks as (
+  select line_id, e, pos::varchar as node_path, '' as parent_path from (
+    select line_id, unnest(l) as e, generate_subscripts(l, 1) - 1 as pos from (select line_id, {_LIST.format("(m -> '$.content')")} as l from m where m is not null))
+  union all
+  select line_id, e, parent || '.' || pos, parent from (
+    select line_id, parent, unnest(l) as e, generate_subscripts(l, 1) - 1 as pos from (
+      select line_id, node_path as parent, {_LIST.format("(e -> '$.content')")} as l from blocks where json_type(e) = 'OBJECT'))),
+counters as (
+  select line_id, v, k, k as node_path, '' as parent_path from (select line_id, v, unnest(json_keys(v)) as k from (
+    select line_id, m -> '$.usage' as v from m where m is not null union all select line_id, j -> '$.usage' from m) where json_type(v) = 'OBJECT')
+  union all
+  select line_id, v, k, parent || '.' || k, parent from (select line_id, v, parent, unnest(json_keys(v)) as k from (
+    select line_id, node_path as parent, json_extract(v, '$."' || k || '"') as v from counters) where json_type(v) = 'OBJECT'))
+select line_id, 'block' as child, node_path, parent_path, case json_type(e) when 'VARCHAR' then 'text' when 'OBJECT' then case json_type(e, '$.type') when 'VARCHAR' then e ->> '$.type' else '' end else '' end as tag
+from blocks where json_type(e) <> 'NULL'
+union all
+select line_id, 'usage', node_path, parent_path, '' from counters where json_type(json_extract(v, '$."' || k || '"')) in ('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT')"""
+
 ORACLES = {
+    "p4_found": _CHILDREN,
     "p4_rejects": r"""select line_id, case when line is null then 'missing' when not json_valid(line) then 'broken' else 'no object' end as reason
 from transcript_lines where line is null or not json_valid(line) or json_type(case when json_valid(line) then line end) <> 'OBJECT'""",
     "p6_rejects": r"""select record_id, case when body is null then 'missing' when not json_valid(body) then 'broken' else 'no object' end as reason
