@@ -85,7 +85,9 @@ def case_folders(cases: DataFrame, folders: DataFrame) -> DataFrame:
     """cases (case_id) with their folder: the one of that name, else the only one that begins with it."""
     exact = cases.join(folders.withColumn("case_id", F.col("folder")), "case_id", "left")
     open_ = exact.filter("folder is null").select("case_id")
-    begun = open_.join(folders, F.startswith("folder", "case_id")).groupBy("case_id").agg(F.count("*").alias("n"), F.min("folder").alias("folder")).filter("n = 1").drop("n")
+    # every beginning of a folder's name meets the cases by equality
+    heads = folders.select("folder", F.explode(F.transform(F.sequence(F.lit(1), F.length("folder")), lambda k: F.left(F.col("folder"), k))).alias("case_id"))
+    begun = open_.join(heads, "case_id").groupBy("case_id").agg(F.count("*").alias("n"), F.min("folder").alias("folder")).filter("n = 1").drop("n")
     return exact.filter("folder is not null").select("case_id", "folder").unionByName(open_.join(begun, "case_id", "left"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenloom.functions.scalars import RESULT_CAP, is_real_model, truncate
+from lumenloom.session import stage
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -145,8 +146,16 @@ def segments(rows: DataFrame, scope: list[str], order: list[str], boundary: Colu
 
 
 def conversation_text(rows: DataFrame, scope: list[str], order: list[str], value: str, separator: str = "\n\n", cap: int | None = None) -> DataFrame:
-    """Texts of a scope joined in order; nulls and empty texts are left out."""
-    parts = rows.filter(F.coalesce(F.length(value), F.lit(0)) > 0).groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct(*order, value))).alias("p"))
+    """Texts of a scope joined in order; nulls and empty texts are left out.
+
+    With a cap only the texts that begin within it are gathered, so a long scope never stands in one row whole.
+    """
+    there = rows.filter(F.coalesce(F.length(value), F.lit(0)) > 0)
+    if cap:
+        before = Window.partitionBy(*scope).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        begins = F.coalesce(F.sum(F.length(value) + len(separator)).over(before), F.lit(0))
+        there = there.withColumn("_begins", begins).filter(F.col("_begins") <= cap + len(separator)).withColumn(value, F.left(value, F.lit(cap + 1))).drop("_begins")
+    parts = there.groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct(*order, value))).alias("p"))
     joined = F.array_join(F.transform("p", lambda x: x[value]), separator)
     return parts.select(*scope, (truncate(joined, cap) if cap else joined).alias("conversation"))
 
@@ -304,14 +313,47 @@ def apportion(spans: DataFrame, costs: DataFrame, model: str, cost: str) -> Data
     return spans.join(costs.join(counts, model).select(model, (F.col(cost) / F.col("_n")).alias("span_cost")), model, "left")
 
 
+def running_total(rows: DataFrame, order: str, size: str, name: str) -> DataFrame:
+    """rows with the sum of size over the rows before, in order: within ranges of the order, and over the ranges.
+
+    Only one row for each range is summed in one task.
+    """
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = stage(rows.repartitionByRange(ranges, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = placed.groupBy("_range").agg(F.sum(size).alias("_sum"))
+    offset = F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum(size).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    both = placed.withColumn("_inside", inside).join(totals.select("_range", offset.alias("_offset")), "_range")
+    return both.withColumn(name, F.col("_inside") + F.col("_offset")).drop("_range", "_inside", "_offset")
+
+
 def route(numbers: DataFrame, batches: DataFrame, number: str, order: str, size: str, bucket: int = 1024) -> DataFrame:
     """Range join: each number to the batch whose running [start, start + size) holds it.
 
-    Both sides meet in buckets of numbers, so it is an equi-join however many batches there are. The running
-    start is a window over the table of batches.
+    Both sides meet in buckets of numbers, so it is an equi-join however many batches there are.
     """
-    start = F.coalesce(F.sum(size).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = batches.withColumn("_start", start).withColumn("_end", F.col("_start") + F.col(size)).filter("_end > _start")
+    ranges = running_total(batches, order, size, "_start").withColumn("_end", F.col("_start") + F.col(size)).filter("_end > _start")
     ranges = ranges.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_start") / bucket), F.floor((F.col("_end") - 1) / bucket))))
     met = numbers.withColumn("_bucket", F.floor(F.col(number) / bucket)).join(ranges, "_bucket")
     return met.filter((F.col(number) >= F.col("_start")) & (F.col(number) < F.col("_end"))).drop("_start", "_end", "_bucket")
+
+
+#: Tools that start an agent (fixed values).
+AGENTS = ["Agent", "Task"]
+
+
+def tool_batches(events: DataFrame, scope: list[str], order: str) -> DataFrame:
+    """Root-level calls (scope, order, tool_pos, name, id) with batch: calls without a text, thoughts or a result between them are one.
+
+    `recent` names the tools that were called since the last text, in order.
+    """
+    root = events.filter("coalesce(parent_tool_use_id, '') = ''")
+    said = (F.coalesce(F.length(F.trim("text")), F.lit(0)) > 0) | (F.coalesce(F.length(F.trim("thinking")), F.lit(0)) > 0) if "thinking" in events.columns else F.coalesce(F.length(F.trim("text")), F.lit(0)) > 0
+    cuts = (F.col("type") == "assistant") & said | (F.col("type") == "tool_result")
+    upto = Window.partitionBy(*scope).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    visible = (F.col("type") == "assistant") & (F.coalesce(F.length(F.trim("text")), F.lit(0)) > 0)
+    rows = root.withColumns({"_cut": F.sum(F.coalesce(cuts, F.lit(False)).cast("int")).over(upto), "_text": F.sum(F.coalesce(visible, F.lit(False)).cast("int")).over(upto)})
+    calls = rows.filter("type = 'assistant'").select(*scope, order, "_cut", "_text", F.posexplode("tools").alias("tool_pos", "t"))
+    rank = F.dense_rank().over(Window.partitionBy(*scope).orderBy("_cut"))
+    past = Window.partitionBy(*scope, "_text").orderBy(order, "tool_pos").rowsBetween(Window.unboundedPreceding, -1)
+    return calls.select(*scope, order, "tool_pos", F.col("t.name").alias("name"), F.col("t.id").alias("id"), rank.alias("batch"), F.array_distinct(F.collect_list("t.name").over(past)).alias("recent"))
