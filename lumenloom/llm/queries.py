@@ -47,8 +47,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens for each source."""
-    documents = table(spark, sf_dir, "documents")
-    return tokenize.token_counts(tokenize.encode_corpus(documents), documents)
+    return tokenize.token_counts(table(spark, sf_dir, "documents"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,12 +9,14 @@ pieces of a corpus repeat, so a worker remembers the ids of short ones.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Splitting pattern of the byte-level vocabulary (fixed by it): contractions, letters, digits, other marks, white space.
@@ -115,14 +117,26 @@ def _encoder(path: str) -> Encoder:
         return Encoder(parse_ranks(file.read()))
 
 
+def _encoders(spark: SparkSession, vocabulary: str) -> Callable[[], Encoder]:
+    """How a worker gets its encoder: from the path if it can read it, else from the copy that the driver shipped."""
+    name = os.path.basename(vocabulary)
+    shipped = getattr(spark.sparkContext, "_lumenloom_vocabularies", set())
+    if os.path.exists(vocabulary) and vocabulary not in shipped:
+        spark.sparkContext.addFile(vocabulary)  # a vocabulary is a few megabytes, sent once for each executor
+        spark.sparkContext._lumenloom_vocabularies = shipped | {vocabulary}
+    return lambda: _encoder(vocabulary if os.path.exists(vocabulary) else SparkFiles.get(name))
+
+
 def encode_corpus(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """Rows (doc_id, ids) for every row of documents; an empty and a null text give an empty list.
 
-    Repeated rows each keep a row. vocabulary is a path that every executor can read. No shuffle.
+    Repeated rows each keep a row. vocabulary is a path on the driver, or one that every executor can read. No
+    shuffle.
     """
+    encoder = _encoders(documents.sparkSession, vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(vocabulary).encode
+        encode = encoder().encode
         for batch in batches:
             ids = [encode(t) if isinstance(t, str) and t else [] for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids})
@@ -132,10 +146,16 @@ def encode_corpus(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-def token_counts(encoded: DataFrame, documents: DataFrame) -> DataFrame:
-    """Documents, tokens and longest document for each source."""
-    sized = encoded.select("doc_id", F.size("ids").alias("n"))
-    return (
-        documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source")).join(sized, "doc_id")
-        .groupBy("source").agg(F.count("*").alias("documents"), F.sum("n").alias("tokens"), F.max("n").alias("longest"))
-    )
+def token_counts(documents: DataFrame, by: str = "source", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """Documents, tokens and longest document for each source: counted where the text is read, one row for each batch and source is shuffled."""
+    encoder = _encoders(documents.sparkSession, vocabulary)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = encoder().encode
+        for batch in batches:
+            sizes = pd.DataFrame({"k": batch["k"], "n": [len(encode(t)) if isinstance(t, str) and t else 0 for t in batch["text"]]})
+            yield sizes.groupby("k")["n"].agg(documents="count", tokens="sum", longest="max").reset_index()
+
+    rows = documents.select(F.coalesce(F.col(by).cast("string"), F.lit("")).alias("k"), F.col(text_col).cast("string").alias("text"))
+    parts = rows.mapInPandas(run, "k string, documents long, tokens long, longest long")
+    return parts.groupBy(F.col("k").alias(by)).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"), F.max("longest").cast("int").alias("longest"))
