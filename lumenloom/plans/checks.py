@@ -360,3 +360,22 @@ from (select row_id, name, case when json_valid(input_json) then input_json end
 def tool_summaries(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "tool_calls").filter("name in ('Bash', 'Edit', 'Write', 'Glob', 'Grep', 'WebFetch', 'WebSearch', 'Skill')")
     return rows.select("row_id", S.tool_summary(F.col("name"), F.col("input_json")).alias("summary"))
+
+
+@query("""select n_name, count(*) as orders, round(sum(o_totalprice), 2) as total from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1 having count(*) > 10""")
+def sql_views(spark: SparkSession, d: str) -> DataFrame:
+    """SQL text over registered views."""
+    from lumenloom.api import register
+
+    register(spark, d, ["orders", "customer", "nation"])
+    return spark.sql(ORACLES["sql_views"])
+
+
+@query("""select l_suppkey, '{"other":[1,null,"x"],"judges":{"mean":' || round(avg(l_quantity), 3)::decimal(9,3) || '}}' as summary from lineitem group by 1""")
+def merged_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """One key of a summary replaced, the others as they were."""
+    from lumenloom.sources.sinks import merged_summary
+
+    mean = F.round(F.avg("l_quantity"), 3).cast("decimal(9,3)").cast("string")
+    rows = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.concat(F.lit('{"mean":'), mean, F.lit("}")).alias("v"))
+    return rows.select("l_suppkey", merged_summary(F.lit('{"other": [1, null, "x"], "judges": 1}'), "judges", F.col("v")).alias("summary"))
