@@ -106,8 +106,12 @@ def number_text(value: Column) -> Column:
 
 
 def tool_failed(result: Column) -> Column:
-    """"error" within the first 50 characters of a result."""
-    return F.coalesce(F.instr(F.lower(F.left(result, F.lit(50))), "error") > 0, F.lit(False))
+    """A result that is an object with a member error that is not empty, or a text with "error" in its first 50 characters."""
+    document = F.try_parse_json(result)
+    is_object = F.coalesce(F.schema_of_variant(document).startswith("OBJECT"), F.lit(False))
+    member = F.to_json(F.try_variant_get(document, "$.error", "variant"))
+    named = ~F.coalesce(member, F.lit("null")).isin("null", '""', "false", "0", "{}", "[]")
+    return F.coalesce(F.when(is_object, named).otherwise(F.instr(F.lower(F.left(result, F.lit(50))), "error") > 0), F.lit(False))
 
 
 def text_of(value: Column, kind: str = "num") -> Column:

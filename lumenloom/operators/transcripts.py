@@ -33,6 +33,8 @@ def flat_events(lines: DataFrame, cap: int = RESULT_CAP) -> DataFrame:
     bare = F.try_variant_get("v", "$.message.content", "string")
     part = lambda name: F.filter(blocks, lambda b: text("$.type", b) == name)
     joined = lambda name, member, sep: F.array_join(F.transform(part(name), lambda b: text(f"$.{member}", b)), sep)
+    # a turn whose thoughts were taken out is not one without thoughts
+    thought_of = lambda b: F.when(text("$.type", b) == "thinking", text("$.thinking", b)).when(text("$.type", b) == "redacted_thinking", F.lit("[redacted thinking]"))
     none = F.lit(None)
     shape = (
         "struct<type:string,text:string,thinking:string,tools:array<struct<name:string,id:string,input_json:string>>,"
@@ -46,7 +48,7 @@ def flat_events(lines: DataFrame, cap: int = RESULT_CAP) -> DataFrame:
     assistant = event(
         type=F.lit("assistant"),
         text=F.when(bare.isNotNull() & (F.size(blocks) == 0), bare).otherwise(joined("text", "text", "")),
-        thinking=joined("thinking", "thinking", "\n"),
+        thinking=F.nullif(F.array_join(F.filter(F.transform(blocks, thought_of), lambda t: F.length(t) > 0), "\n"), F.lit("")),
         tools=F.transform(part("tool_use"), lambda b: F.struct(text("$.name", b), text("$.id", b), F.to_json(F.try_variant_get(b, "$.input", "variant")))),
         model=text("$.message.model"),
     )
@@ -113,8 +115,8 @@ def flat_events(lines: DataFrame, cap: int = RESULT_CAP) -> DataFrame:
         .when(kind == "item.completed", items)
     )
     keep = [c for c in ("line_id", "run_id", "case_id", "file_name", "line_no") if c in lines.columns]
-    out = rows.select(*keep, F.when(kind != "result", text("$.timestamp")).alias("timestamp"), F.coalesce(text("$.message.id"), F.when((kind == "item.completed") & (item == "agent_message"), F.nullif(member("id"), F.lit("")))).alias("_msg_id"), text("$.parent_tool_use_id").alias("parent_tool_use_id"), F.posexplode(events).alias("event_no", "e"))
-    return out.select(*keep, "event_no", "timestamp", "_msg_id", "parent_tool_use_id", "e.*").withColumns(
+    out = rows.select(*keep, F.when(kind != "result", text("$.timestamp")).alias("timestamp"), F.coalesce(text("$.message.id"), F.when((kind == "item.completed") & (item == "agent_message"), F.nullif(member("id"), F.lit("")))).alias("_msg_id"), text("$.parent_tool_use_id").alias("parent_tool_use_id"), F.when(F.length(text("$.parent_tool_use_id")) > 0, text("$.agent_id")).alias("agent_id"), F.posexplode(events).alias("event_no", "e"))
+    return out.select(*keep, "event_no", "timestamp", "_msg_id", "parent_tool_use_id", "agent_id", "e.*").withColumns(
         {
             "truncated": F.coalesce(F.length("content") > cap, F.lit(False)),
             "original_length": F.when(F.length("content") > cap, F.length("content").cast("long")),
@@ -160,6 +162,16 @@ def conversation_text(rows: DataFrame, scope: list[str], order: list[str], value
     return parts.select(*scope, (truncate(joined, cap) if cap else joined).alias("conversation"))
 
 
+def thinking_conversation(events: DataFrame, scope: list[str], order: list[str], cap: int = 400_000) -> DataFrame:
+    """Root-level texts of a scope with the thoughts before them, marked, up to a cap."""
+    root = events.filter("type = 'assistant' and coalesce(parent_tool_use_id, '') = ''")
+    thought = F.when(F.length("thinking") > 0, F.concat(F.lit("[thinking]\n"), "thinking"))
+    parts = root.select(*scope, *[o for o in order if o not in scope], F.posexplode(F.array_compact(F.array(thought, F.when(F.length("text") > 0, F.col("text"))))).alias("_part", "_said"))
+    joined = conversation_text(parts, scope, [*order, "_part"], "_said", cap=cap)
+    marked = F.regexp_replace("conversation", r"\[truncated\]$", "\n\n[conversation truncated]")
+    return joined.withColumn("conversation", F.when(F.length("conversation") > cap, marked).otherwise(F.col("conversation")))
+
+
 def merge_subagents(main: DataFrame, extra: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
     """Main rows and those sub-agent rows whose message id is new; a repeated one only fills in missing thinking.
 
@@ -357,3 +369,37 @@ def tool_batches(events: DataFrame, scope: list[str], order: str) -> DataFrame:
     rank = F.dense_rank().over(Window.partitionBy(*scope).orderBy("_cut"))
     past = Window.partitionBy(*scope, "_text").orderBy(order, "tool_pos").rowsBetween(Window.unboundedPreceding, -1)
     return calls.select(*scope, order, "tool_pos", F.col("t.name").alias("name"), F.col("t.id").alias("id"), rank.alias("batch"), F.array_distinct(F.collect_list("t.name").over(past)).alias("recent"))
+
+
+#: Texts that only report on agents at work (fixed patterns): they open no step while agents run.
+STATUS = r"(?i)^[A-Z]+-\d+\s+(?:created|submitted|reviewed|processed).*\d+/\d+\s+(?:complete|done)|waiting for|agents? (?:are |is )?(?:still )?(?:running|creating|processing)"
+
+
+def agent_steps(events: DataFrame, scope: list[str], order: str, status: str = STATUS) -> DataFrame:
+    """Segments (scope, order, pos, kind, said, step) of the root-level turns: thoughts, texts and calls with the step they belong to.
+
+    A text opens a step, unless it only reports on agents that the step has started. Calls directly behind thoughts open
+    one as well. Thoughts belong to what follows them. Calls before the first text are step 0. All by windows over a
+    scope: a report opens a step exactly if no agent was started since the last step that surely opened.
+    """
+    filled = lambda c: F.coalesce(F.length(F.trim(c)), F.lit(0)) > 0
+    root = events.filter("type = 'assistant' and coalesce(parent_tool_use_id, '') = ''")
+    none = F.lit(None).cast("string")
+    one = lambda kind, said, agent: F.struct(F.lit(kind).alias("kind"), said.alias("said"), agent.alias("agent"))
+    agents = F.exists("tools", lambda t: F.coalesce(t["name"] == "Agent", F.lit(False)))
+    parts = F.array_compact(F.array(
+        F.when(filled("thinking"), one("thinking", F.trim("thinking"), F.lit(False))), F.when(filled("text"), one("text", F.trim("text"), F.lit(False))),
+        F.when(F.size("tools") > 0, one("calls", none, agents)),
+    ))
+    rows = root.select(*scope, order, "timestamp", F.posexplode(parts).alias("pos", "_seg")).select(*scope, order, "pos", "timestamp", "_seg.*")
+    w = Window.partitionBy(*scope).orderBy(order, "pos")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    report = (F.col("kind") == "text") & F.split_part("said", F.lit("\n"), F.lit(1)).rlike(status)
+    sure = (F.col("kind") == "text") & ~report | (F.col("kind") == "calls") & F.coalesce(F.lag("kind").over(w) == "thinking", F.lit(False))
+    rows = rows.withColumn("_report", report).withColumn("_sure", sure).withColumn("_group", F.sum(F.col("_sure").cast("int")).over(upto))
+    inside = Window.partitionBy(*scope, "_group").orderBy(order, "pos").rowsBetween(Window.unboundedPreceding, -1)
+    busy = F.coalesce(F.max(F.col("agent").cast("int")).over(inside), F.lit(0)) > 0
+    rows = rows.withColumn("_busy", busy).withColumn("_step", F.sum((F.col("_sure") | F.col("_report") & ~F.col("_busy")).cast("int")).over(upto))
+    after = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    owner = F.coalesce(F.first(F.when(F.col("kind") != "thinking", F.col("_step")), ignorenulls=True).over(after), F.col("_step"))
+    return rows.select(*scope, order, "pos", "timestamp", "kind", "said", F.when(F.col("kind") == "thinking", owner).otherwise(F.col("_step")).alias("step"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 _URL = r"https?://\S+"
 #: Names that stand for any name in documentation (fixed values).
-PLACEHOLDERS = ["skill-name", "my-skill", "name", "example", "your-skill", "foo", "bar"]
+PLACEHOLDERS = ["skill-name", "my-skill", "my-skill-name", "name", "foo", "bar", "example", "your-skill", "target-skill"]
 
 
 def skill_references(texts: DataFrame, key: str, text: str, strong: list[str], weak: str, placeholders: list[str] | None = None) -> DataFrame:

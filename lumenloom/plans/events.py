@@ -136,7 +136,7 @@ def turns_by_model(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("run_id", "model").agg(F.countDistinct(F.lower("_msg_id")).alias("turns"))
 
 
-@query("""select count(*) as results, count(*) filter (contains(lower(left(content, 50)), 'error')) as failed, count(*) filter (is_error) as flagged, sum((length(content) > 100)::int)::bigint as long from flat_events where type = 'tool_result'""")
+@query("""select count(*) as results, count(*) filter (case when json_valid(content) and json_type(case when json_valid(content) then content end) = 'OBJECT' then coalesce(case when json_valid(content) then content end -> '$.error', 'null'::json)::varchar not in ('null', '""', 'false', '0', '{}', '[]') else contains(lower(left(content, 50)), 'error') end) as failed, count(*) filter (is_error) as flagged, sum((length(content) > 100)::int)::bigint as long from flat_events where type = 'tool_result'""")
 def tool_validation(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "flat_events").filter("type = 'tool_result'")
     return rows.agg(F.count("*").alias("results"), F.count_if(S.tool_failed(F.col("content"))).alias("failed"), F.count_if("is_error").alias("flagged"), F.sum(F.coalesce((F.length("content") > 100).cast("int"), F.lit(0))).alias("long"))

@@ -96,3 +96,28 @@ def conversation_capped(spark: SparkSession, d: str) -> DataFrame:
     """Texts of a session up to a cap; what begins beyond it is never gathered."""
     rows = table(spark, d, "flat_events").filter("type = 'assistant' and session_id is not null")
     return E.conversation_text(rows, ["session_id"], ["event_id"], "text", cap=500)
+
+
+@query("""with e as (select * from flat_events where type = 'assistant' and coalesce(parent_tool_use_id, '') = '' and session_id is not null),
+g as (select session_id, event_id, 0 as pos, 'thinking' as kind, null as said, false as agent from e where length(trim(thinking)) > 0 union all
+  select session_id, event_id, 1, 'text', trim(text), false from e where length(trim(text)) > 0 union all
+  select session_id, event_id, 2, 'calls', null, len(list_filter(tools, lambda t: t.name = 'Agent')) > 0 from e where len(tools) > 0),
+r as (select *, kind = 'text' and regexp_matches(split_part(said, e'\n', 1), '(?i)^[A-Z]+-\\d+\\s+(?:created|submitted|reviewed|processed).*\\d+/\\d+\\s+(?:complete|done)|waiting for|agents? (?:are |is )?(?:still )?(?:running|creating|processing)') as report,
+  lag(kind) over (partition by session_id order by event_id, pos) as prev from g),
+s as (select *, coalesce(kind = 'text' and not report or kind = 'calls' and prev = 'thinking', false) as sure from r),
+b as (select *, sum(sure::int) over (partition by session_id order by event_id, pos rows unbounded preceding) as grp from s),
+a as (select *, coalesce(max(agent::int) over (partition by session_id, grp order by event_id, pos rows between unbounded preceding and 1 preceding), 0) as busy from b),
+n as (select *, sum((sure or report and busy = 0)::int) over (partition by session_id order by event_id, pos rows unbounded preceding) as step from a)
+select session_id, step, count(*) filter (kind = 'text') as texts, count(*) filter (kind = 'calls') as calls from n where kind <> 'thinking' group by 1, 2""")
+def agent_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Steps of each session with their texts and turns of calls."""
+    steps = E.agent_steps(table(spark, d, "flat_events").filter("session_id is not null"), ["session_id"], "event_id").filter("kind != 'thinking'")
+    return steps.groupBy("session_id", "step").agg(F.count_if(F.col("kind") == "text").alias("texts"), F.count_if(F.col("kind") == "calls").alias("calls"))
+
+
+@query("""with e as (select session_id, event_id, unnest(case when length(thinking) > 0 and length(text) > 0 then [e'[thinking]\n' || thinking, text] when length(thinking) > 0 then [e'[thinking]\n' || thinking] when length(text) > 0 then [text] end) as said,
+  generate_subscripts(case when length(thinking) > 0 and length(text) > 0 then [1, 2] when length(thinking) > 0 or length(text) > 0 then [1] end, 1) as part from flat_events where type = 'assistant' and coalesce(parent_tool_use_id, '') = '' and session_id is not null)
+select session_id, string_agg(said, e'\n\n' order by event_id, part) as conversation from e group by 1""")
+def thinking_conversation(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations with the thoughts before the texts."""
+    return E.thinking_conversation(table(spark, d, "flat_events").filter("session_id is not null"), ["session_id"], ["event_id"])

@@ -56,14 +56,17 @@ def field_of(cases: DataFrame, source: str) -> DataFrame:
 
 #: Where the input of a case stands, best first (fixed values), and stems that are no inputs.
 INPUTS = ["input.yaml", "input.yml", "input.json"]
-NO_INPUTS = ["annotations", "metadata", "expected", "reference"]
+NO_INPUTS = ["answers", "reference", "expected", "gold"]
 
 
-def inputs(cases: DataFrame) -> DataFrame:
-    """(case_id, name, doc) of the input of each case: the first of the usual names, else the first readable data file by name."""
+def inputs(cases: DataFrame, skip: list[str] | None = None) -> DataFrame:
+    """(case_id, name, doc) of the input of each case: the first of the usual names, else the first readable data file by name.
+
+    skip: more stems that are no inputs, such as files of the workspace.
+    """
     place = F.coalesce(*[F.when(F.col("name") == n, k) for k, n in enumerate(INPUTS)], F.lit(len(INPUTS)))
     stem = F.regexp_extract("name", r"^([^/]+)\.(?:ya?ml|json)$", 1)
-    rows = cases.filter("doc is not null").withColumns({"_place": place, "_stem": stem}).filter((F.col("_place") < len(INPUTS)) | ((F.col("_stem") != "") & ~F.col("_stem").isin(NO_INPUTS)))
+    rows = cases.filter("doc is not null").withColumns({"_place": place, "_stem": stem}).filter((F.col("_place") < len(INPUTS)) | ((F.col("_stem") != "") & ~F.col("_stem").isin([*NO_INPUTS, *(skip or [])])))
     return rows.groupBy("case_id").agg(F.min_by(F.struct("name", "doc"), F.struct("_place", "name")).alias("b")).select("case_id", "b.name", "b.doc")
 
 

@@ -21,7 +21,7 @@ def test_case_records(spark, tmp_path):
     pytest.importorskip("yaml")
     _write(tmp_path / "cases", {
         "c1/annotations.yaml": "kind: hard\n", "c1/input.yaml": "prompt: do it\nnested:\n  deep: [1]\n", "c1/run_result.json": '{"cost_usd": null, "num_turns": 3}', "c1/out/a.md": "old", "c1/_modified/out/a.md": "new",
-        "c1/events.jsonl": "{}", "c1/blob.bin": b"\xff\xfe\x00", "c1/steps/s1/x.txt": "x", "c2/task.json": '{"prompt": "other"}', "c2/metadata.json": '{"a": 1}', "c3/broken.yaml": "a: [",
+        "c1/events.jsonl": "{}", "c1/blob.bin": b"\xff\xfe\x00", "c1/steps/s1/x.txt": "x", "c2/task.json": '{"prompt": "other"}', "c2/gold.json": '{"a": 1}', "c3/broken.yaml": "a: [",
     })
     files = C.by_case(C.documents_of(C.texts(spark, str(tmp_path / "cases"))), "cases")
     run = F.parse_json(F.lit('{"cost_usd": 9.5, "exit_code": 1}'))
