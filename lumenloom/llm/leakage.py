@@ -176,9 +176,8 @@ class Index:
         if not len(self.pairs):
             return out
         known = self.vocabulary.get
-        ids = [np.fromiter((known(w, -1) for w in words), np.int64, len(words)) for words in texts]
+        flat = np.array([known(w, -1) for words in texts for w in words], np.int64)
         doc = np.repeat(np.arange(len(texts)), [len(w) for w in texts])
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
         good = (flat[:-1] >= 0) & (flat[1:] >= 0) & (doc[:-1] == doc[1:])
         pair = (flat[:-1][good] << 32) | flat[1:][good]
         slot = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
@@ -214,6 +213,23 @@ class Common:
         return masked
 
 
+def possible(item: list[str], masked: list[bool], there: set[str], budget: Budget) -> bool:
+    """Whether any run of at least budget.words item words could stand in a text with these words within the budget.
+
+    A run must have the share of its words in the text wherever they stand there: sums over the item's words
+    rise over such a run, so it is enough to compare each sum with the lowest one that many words before.
+    """
+    sums, least = [0.0], float("inf")
+    for word, hidden in zip(item, masked):
+        if not hidden:
+            sums.append(sums[-1] + (budget.share if word in there else budget.share - 1))
+            if len(sums) > budget.words:
+                least = min(least, sums[len(sums) - 1 - budget.words])
+                if sums[-1] >= least - 1e-9:
+                    return True
+    return False
+
+
 def aligned(item: list[str], masked: list[bool], own: list[bool], text: list[str], shift: int, budget: Budget, reach: int = 12) -> bool:
     """Whether a run of at least budget.words item words stands in the text around the diagonal `shift`.
 
@@ -309,15 +325,19 @@ def leaked(texts: list[str], index: Index, budget: Budget) -> list[tuple[int, in
             found.setdefault(int(pair[order[b]]), []).append(order[b : b + n])
     out = []
     starts: dict[int, np.ndarray] = {}
+    there: dict[int, set[str]] = {}
     for p, bands in found.items():
         d, i = divmod(p, len(index.ids))
         if d not in starts:
-            starts[d] = np.cumsum([0, *map(len, spellings[d])])
+            starts[d], there[d] = np.cumsum([0, *map(len, spellings[d])]), set(words[d])
+        if not possible(index.words[i], index.masked[i], there[d], budget):
+            continue
         tried: list[int] = []
         for rows in bands:
             # the middle diagonal of the band, in words
             shifts = np.searchsorted(starts[d], at[rows], side="right") - np.searchsorted(index.starts[i], place[rows], side="right")
-            for shift in {int(np.median(shifts)), int(np.percentile(shifts, 10)), int(np.percentile(shifts, 90))}:
+            shifts.sort()
+            for shift in {int(shifts[len(shifts) // 2]), int(shifts[len(shifts) // 10]), int(shifts[-1 - len(shifts) // 10])}:
                 if not any(abs(shift - t) <= 4 for t in tried):
                     tried.append(shift)
         if any(aligned(index.words[i], index.masked[i], index.own[i], words[d], t, budget) for t in tried):
