@@ -79,6 +79,8 @@ _RULES = (
 )
 RULES = tuple((kind, frozenset(words.split()), re.compile(pattern, re.X | re.I)) for kind, words, pattern in _RULES)
 _LATIN = re.compile(r"[a-zà-ÿ]+")
+_NEEDED = frozenset().union(*(words for _, words, _ in RULES))
+_DIGIT, _NUMBER = re.compile(r"\d"), re.compile(r"\d+")
 #: An exception of a program and the frames above it, in the notation of stack traces.
 _TRACE = re.compile(r"^(?:\w+\.)*\w*(?:Error|Exception)\b\s*:|^File\s.{0,200},\s*line\s+\d+|^\s*at\s+\S+\(.*:\d+\)$")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
@@ -96,8 +98,9 @@ _HEX = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b")
 
 def normal(segment: str) -> str:
     """A line for counting: lower case, numbers and request ids levelled, words of a menu in one order."""
-    text = _HEX.sub("#", segment.lower())
-    text = re.sub(r"\d+", "0", text)
+    text = segment.lower()
+    if _DIGIT.search(text):  # ids have digits too
+        text = _NUMBER.sub("0", _HEX.sub("#", text))
     words = text.split()
     return " ".join(sorted(words) if len(words) <= 12 and segment.istitle() else words)
 
@@ -135,10 +138,12 @@ def kinds(parts: list[str]) -> list[str]:
     out: list[str] = []
     clear = False
     for segment in bare:
-        words = _WORD.findall(segment.lower())
-        latin = set(_LATIN.findall(segment.lower()))
-        found = next((kind for kind, needs, pattern in RULES if not needs.isdisjoint(latin) and pattern.search(segment)), None)
-        if found is None and (":" in segment or "line" in latin) and _TRACE.search(segment):
+        low = segment.lower()
+        latin = _LATIN.findall(low)
+        words = latin if low.isascii() else _WORD.findall(low)
+        named = _NEEDED.intersection(latin)
+        found = next((kind for kind, needs, pattern in RULES if not needs.isdisjoint(named) and pattern.search(segment)), None) if named else None
+        if found is None and (":" in segment or "line" in low) and _TRACE.search(segment):
             found = "error"
         if len(words) >= 3:
             imitated = imitation(words) >= 0.5
