@@ -225,12 +225,12 @@ def residue(documents: DataFrame, share: float = 0.001, least: int = 4, beside:
     ).filter("text is not null")
     seen = stage(rows.mapInPandas(lambda batches: _inspect(batches, notice), _SCHEMA), "residue")
     asked = seen.filter("what = 'open'").select("doc_id", "source", "line", "kind", "n")
-    counts = seen.filter("what = 'count'").groupBy("source", "line").agg(F.sum("n").alias("n"))
-    sizes = counts.filter("line = ''").select("source", F.col("n").alias("docs"))
-    usual = counts.filter(f"line != '' and n >= {least}").join(sizes, "source").filter(F.col("n") >= share * F.col("docs")).select("source", "line", F.lit(True).alias("usual"))
+    counted_lines = seen.filter("what = 'count' and line != ''").select("source", "line", "n")
+    sizes = seen.filter("what = 'count' and line = ''").groupBy("source").agg(F.sum("n").alias("docs"))
+    usual = counted_lines.groupBy("source", "line").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).join(sizes, "source").filter(F.col("n") >= share * F.col("docs")).select("source", "line", F.lit(True).alias("usual"))
     # a line counts once for a document
     notices = asked.filter("kind = 'content' and n = 1").groupBy("line").agg(F.count_distinct("doc_id").alias("near"))
-    corpus = counts.filter("line != ''").join(notices.filter(f"near >= {least} * {beside}"), "line").groupBy("line").agg(F.sum("n").alias("n"), F.first("near").alias("near"))
+    corpus = counted_lines.join(notices.filter(f"near >= {least} * {beside}"), "line").groupBy("line").agg(F.sum("n").alias("n"), F.first("near").alias("near"))
     known = corpus.filter(f"n >= {least} and near >= {beside} * n").select("line", F.lit(True).alias("known"))
     left = asked.join(usual, ["source", "line"], "left").join(known, "line", "left").filter("usual is null and known is null")
     judged = left.groupBy("doc_id").agg(F.max(F.when(F.col("line") == "", F.col("kind"))).alias("kind"), F.bool_or(F.col("kind") == "content").alias("content"))
