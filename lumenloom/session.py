@@ -48,7 +48,9 @@ def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of our own in the shared one; what no step drops before is deleted when the application ends."""
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(target)  # only what is there can be marked for deletion
+    files.deleteOnExit(target)
     return path
 
 
