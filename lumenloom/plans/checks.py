@@ -62,7 +62,7 @@ r as (select o_orderkey, sample, case when (o_orderkey + sample) % 11 = 0 then n
 v as (select o_orderkey, sample, case when not off then raw end as v from r)"""
 
 
-@query(_STUB + """ select o_orderkey::varchar as case_id, 3 as samples, count(*) - count(v) as errors, case when count(v) > 0 then quantile_disc(v, 0.5)::double end as value, count(v) = 3 and min(v) = max(v) as stable from v group by 1""")
+@query(_STUB + """ select o_orderkey::varchar as case_id, 3::bigint as samples, count(*) - count(v) as errors, case when count(v) > 0 then quantile_disc(v, 0.5)::double end as value, count(v) = 3 and min(v) = max(v) as stable from v group by 1""")
 def score_samples(spark: SparkSession, d: str) -> DataFrame:
     """Three samples of a judge with a client, here a stub that fails, leaves the scale, or answers in JSON."""
 
@@ -140,7 +140,7 @@ def score_parse(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("o_orderkey", V.score(F.col("text"), 1.0, 5.0).alias("score"), V.rationale(F.col("text")).alias("rationale"))
 
 
-@query("""select o_orderkey, case o_orderkey % 5 when 0 then 1.0 when 1 then 0.0 when 2 then 1.0 when 3 then 0.0 end as flag, case o_orderkey % 5 when 0 then 1.0 when 1 then 0.0 when 2 then (o_custkey % 4 + 1)::double when 3 then 0.0 end as number from orders""")
+@query("""select o_orderkey, (case o_orderkey % 5 when 0 then 1.0 when 1 then 0.0 when 2 then 1.0 when 3 then 0.0 end)::double as flag, case o_orderkey % 5 when 0 then 1.0 when 1 then 0.0 when 2 then (o_custkey % 4 + 1)::double when 3 then 0.0 end as number from orders""")
 def agent_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """Values of the last verdict in the output of agents, for judges of flags and of whole numbers."""
     k = F.col("o_orderkey") % 5

@@ -108,7 +108,7 @@ s as (select *, coalesce(kind = 'text' and not report or kind = 'calls' and prev
 b as (select *, sum(sure::int) over (partition by session_id order by event_id, pos rows unbounded preceding) as grp from s),
 a as (select *, coalesce(max(agent::int) over (partition by session_id, grp order by event_id, pos rows between unbounded preceding and 1 preceding), 0) as busy from b),
 n as (select *, sum((sure or report and busy = 0)::int) over (partition by session_id order by event_id, pos rows unbounded preceding) as step from a)
-select session_id, step, count(*) filter (kind = 'text') as texts, count(*) filter (kind = 'calls') as calls from n where kind <> 'thinking' group by 1, 2""")
+select session_id, step::bigint as step, count(*) filter (kind = 'text') as texts, count(*) filter (kind = 'calls') as calls from n where kind <> 'thinking' group by 1, 2""")
 def agent_steps(spark: SparkSession, d: str) -> DataFrame:
     """Steps of each session with their texts and turns of calls."""
     steps = E.agent_steps(table(spark, d, "flat_events").filter("session_id is not null"), ["session_id"], "event_id").filter("kind != 'thinking'")
